@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, simhash
+from . import bpe, media, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
+from .shared import new_path, stored
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,6 +27,39 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored, keep=("doc_id", "n_bytes"))
 
 
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans every blob once through a new ledger and joins the findings back to all documents."""
+    return secret_scan.digests(secret_scan.scan(documents(spark, sf_dir)))
+
+
+def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents in packed files and reads the files back."""
+    manifest = packing.write_files(documents(spark, sf_dir), new_path(spark, "packed"), public_tokenizers.path(JSON), 50257, 2)
+    return packing.read_files(spark, manifest)
+
+
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base verdict and the weakly supervised verdict of every document."""
+    found = quality_rules.judged(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good_probability")
+
+
+def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and truncated totals for every encoded length as a context limit."""
+    histogram = token_counts.length_histogram(documents(spark, sf_dir), public_tokenizers.path(RANKS))
+    return token_counts.running_sums(stored(histogram, "histogram"))
+
+
+def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every 400-byte string that occurs more than once from every document."""
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes it again, and returns digests of both."""
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(MULTI))
@@ -37,6 +71,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op9_byte_bpe, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_secret_ledger, op4_packed_ids, op5_weak_supervision, op6_water_filling, op7_length_histogram, op8_prefix_doubling, op9_byte_bpe, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
