@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
+from . import bpe, crf, media, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 from .shared import new_path, stored
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,12 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored, keep=("doc_id", "n_bytes"))
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits the field on labels that aren't held out and scores every document."""
+    docs = documents(spark, sf_dir)
+    return crf.scored(docs, crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans every blob once through a new ledger and joins the findings back to all documents."""
     return secret_scan.digests(secret_scan.scan(documents(spark, sf_dir)))
@@ -71,6 +77,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_secret_ledger, op4_packed_ids, op5_weak_supervision, op6_water_filling, op7_length_histogram, op8_prefix_doubling, op9_byte_bpe, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_line_crf, op3_secret_ledger, op4_packed_ids, op5_weak_supervision, op6_water_filling, op7_length_histogram, op8_prefix_doubling, op9_byte_bpe, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
