@@ -176,5 +176,6 @@ def judged(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns and no others."""
-    counted = stored(with_counts(df, text, PREFIX), "counts")
-    return verdicts(counted, fit_on(counted, PREFIX), PREFIX).where(F.col(PREFIX + "kept")).select(*[F.col(f"`{c}`") for c in df.columns])
+    # All columns travel in one struct, so none clashes with a count.
+    counted = stored(with_counts(df.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text").drop("text"), "counts")
+    return verdicts(counted, fit_on(counted)).where("kept").select("row.*")

@@ -158,10 +158,12 @@ def mask_secrets(df: DataFrame, ledger: str | None = None, text: str = "text", c
     spark = df.sparkSession
     ledger = ledger or new_path(spark, "ledger")
     update_ledger(df, ledger, text, rules)
-    found = spark.read.schema(LEDGER).parquet(ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
-    marked = df.withColumn("__blob", blob_id(F.col(text))).join(found.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    changed = F.coalesce(F.size("__spans") > 0, F.lit(False))
-    made = marked.withColumn(text, F.when(changed, masked(F.col(text), F.col("__spans"))).otherwise(F.col(text)))
+    found = spark.read.schema(LEDGER).parquet(ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # All columns travel in one struct, so none clashes with those of the ledger.
+    marked = df.select(blob_id(F.col(text)).alias("blob"), F.struct("*").alias("row")).join(found, "blob", "left")
+    changed = F.coalesce(F.size("spans") > 0, F.lit(False))
+    old = lambda c: F.col("row")[c]
+    new = {text: F.when(changed, masked(old(text), F.col("spans"))).otherwise(old(text))}
     if chars in df.columns:
-        made = made.withColumn(chars, F.when(changed, F.length(text).cast(df.schema[chars].dataType)).otherwise(F.col(chars)))
-    return made.select(*[F.col(f"`{c}`") for c in df.columns])
+        new[chars] = F.when(changed, F.length(new[text]).cast(df.schema[chars].dataType)).otherwise(old(chars))
+    return marked.select(*[new.get(c, old(c)).alias(c) for c in df.columns])
