@@ -154,31 +154,45 @@ def segments(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+#: Up to so many classes three segments have few enough to a bucket; beyond, two segments of 32 bits. The links are the same.
+THREE_SEGMENTS = 1 << 22
+
+
 def links(classes: DataFrame, radius: int = 4, parts: int = 3, node: str = "node", fingerprint: str = "fingerprint") -> DataFrame:
-    """All pairs (a, b), a < b, of classes whose fingerprints differ in at most ``radius`` bits.
+    """All pairs (a, b), a < b, of classes whose fingerprints differ in at most ``radius`` bits, at most twice plus one as many as ``parts``.
 
-    ``classes`` has one row per distinct fingerprint. Each pair comes out once, from the first segment in
-    which the two lie within the ball. Rows shuffled: the table once per segment plus the balls, so a
-    constant number per class however the fingerprints are spread; a bucket that many classes share is
-    split by the join's skew handling, and only verified pairs leave the join.
+    ``classes`` has one row per distinct fingerprint. Of two fingerprints, some segment differs in at most radius // parts bits. For balls
+    of one bit each class probes its ball against a table of plain segments; for balls of two bits the table holds balls of one
+    bit as well, so that the two meet halfway and rows stay a constant, some 130, per class however fingerprints are
+    spread. Each pair comes out once: from the first segment in which the two lie within the ball, in one of the
+    ways to meet. A bucket that many classes share is split by the join's skew handling, and only verified pairs leave the join.
     """
     ball, cut = radius // parts, segments(parts)
+    if ball > 2:
+        raise ValueError("balls of more than two bits")
     fp = F.col(fingerprint)
 
     def part(x, i):
         shift, bits = cut[i]
-        return F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1))
+        return F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
-    def flips(bits):
-        return [0] + [sum(1 << b for b in chosen) for k in range(1, ball + 1) for chosen in itertools.combinations(range(bits), k)]
+    def around(size):
+        flips = [(i, sum(1 << b for b in chosen)) for i in range(parts) for k in range(size + 1) for chosen in itertools.combinations(range(cut[i][1]), k)]
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(fp, i).bitwiseXOR(F.lit(x).cast("long")).alias("key")) for i, x in flips]))
 
-    stored_at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(fp, i).alias("key")) for i in range(parts)]))
-    table = classes.select(F.col(node).alias("b"), fp.alias("fb"), stored_at.alias("at")).select("b", "fb", "at.i", "at.key")
-    probes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(fp, i).bitwiseXOR(F.lit(x).cast("long")).alias("key")) for i in range(parts) for x in flips(cut[i][1])]))
-    probe = classes.select(F.col(node).alias("a"), fp.alias("fa"), probes.alias("at")).select("a", "fa", "at.i", "at.key")
+    table = classes.select(F.col(node).alias("b"), fp.alias("fb"), around(ball // 2).alias("at")).select("b", "fb", "at.i", "at.key")
+    probe = classes.select(F.col(node).alias("a"), fp.alias("fa"), around((ball + 1) // 2).alias("at")).select("a", "fa", "at.i", "at.key")
     apart = F.col("fa").bitwiseXOR(F.col("fb"))
-    earlier = F.greatest(*[F.when((F.bit_count(part(apart, i)) <= ball) & (F.col("i") > i), 1).otherwise(0) for i in range(parts)]) if parts > 1 else F.lit(0)
-    pairs = probe.join(table, ["i", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & (earlier == 0))
+    earlier = F.lit(False)
+    here, mine, theirs = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
+    for i in range(parts):
+        earlier = earlier | ((F.bit_count(part(apart, i)) <= ball) & (F.col("i") > i))
+        of = F.col("i") == i
+        mine = F.when(of, part(F.col("fa"), i).bitwiseXOR(F.col("key"))).otherwise(mine)
+        theirs = F.when(of, part(F.col("fb"), i).bitwiseXOR(F.col("key"))).otherwise(theirs)
+        here = F.when(of, F.bit_count(part(apart, i))).otherwise(here)
+    one_way = F.lit(True) if ball < 2 else F.when(here <= 1, theirs == 0).otherwise(mine < theirs)
+    pairs = probe.join(table, ["i", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & ~earlier & one_way)
     return pairs.select("a", "b")
 
 
@@ -219,7 +233,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return made.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, parts: int = 3, width: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, parts: int | None = None, width: int = 4, seed: int = 42) -> DataFrame:
     """(key, fingerprint as a signed long, component_id) for every row.
 
     Rows whose fingerprints differ in at most ``radius`` bits are linked, and component_id is the smallest key
@@ -229,6 +243,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radi
     """
     marked = stored(with_fingerprint(df, text, "fingerprint", width, seed, (key,)), "fingerprints")
     classes = stored(marked.groupBy("fingerprint").agg(F.min(key).alias("node")), "classes")
+    parts = parts or (3 if classes.count() <= THREE_SEGMENTS else 2)
     roots = components(links(classes.where("node is not null"), radius, parts), "links")
     rooted = classes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("component_id"))
     return marked.join(rooted, "fingerprint").select(key, "fingerprint", "component_id")
