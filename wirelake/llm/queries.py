@@ -79,4 +79,44 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_line_crf, op3_secret_ledger, op4_packed_ids, op5_weak_supervision, op6_water_filling, op7_length_histogram, op8_prefix_doubling, op9_byte_bpe, op10_simhash)}
 
-ORACLES: dict[str, str] = {}
+# ---------------------------------------------------------------- SQL
+
+_KINDS = [
+    ("assign", 6, r"""(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1),
+    ("access", 20, "AKIA[A-Z0-9]+", 0),
+    ("hex", 24, "[0-9a-f]+", 0),
+    ("forge", 0, "gh[pousr]_[A-Za-z0-9]{36,}", 0),
+    ("pem", 0, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+]
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{p}') AS between_, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', {group}) AS part FROM docs"
+    for rank, (kind, least, p, group) in enumerate(_KINDS)
+)
+
+ORACLES: dict[str, str] = {
+    "op3_secret_ledger": f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+each AS (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM found),
+placed AS (
+  SELECT doc_id, rank, kind, list_sum(list_transform(between_[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) AS a, length(whole[k]) AS n FROM each WHERE length(part[k]) >= least),
+per AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, rank) AS spans
+  FROM placed GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per USING (doc_id)
+""",
+    "op8_prefix_doubling": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, n, base, substr(h, CAST(2 * base + 1 AS BIGINT), 2800) AS h FROM (SELECT doc_id, n, h, unnest(range(0, n - 399, 1000)) AS base FROM d)),
+w AS (SELECT doc_id, i, md5_number(substr(h, CAST(2 * (i - base) + 1 AS BIGINT), 800)) AS k FROM (SELECT doc_id, h, base, unnest(range(base, least(base + 1000, n - 399))) AS i FROM p)),
+c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN c USING (k)),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM r GROUP BY doc_id, run),
+holes AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS k, sum(b - a) AS n_removed, count(*) AS n_spans FROM holes JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""",
+}
