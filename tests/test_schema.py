@@ -95,3 +95,27 @@ def test_message_sets():
     again = Message.decode(p, "t2.Set", raw, Options(message_set=True))
     assert again.extension("t2.in_set").get("need") == 4
     assert Message.decode(p, "t2.Set", raw).unknown[0][0] == 1
+
+
+def test_feature_overrides():
+    p = Pool(SET, {"t3.Leaf.id": {"presence": "explicit"}, "t3.Color": {"enum": "closed"}, "t3.All.r_int32": {"repeated": "expanded"}})
+    assert p.message("t3.Leaf").by_name["id"].presence == "explicit" and p.message("t3.Leaf").by_name["name"].presence == "implicit"
+    assert p.enums["t3.Color"].closed and not p.message("t3.All").by_name["r_int32"].packed
+    assert Message.from_dict(p, "t3.Leaf", {"id": 0}).encode().hex() == "0800"
+
+
+def test_options_are_messages():
+    from google.protobuf import descriptor_pb2
+
+    from wirelake.kernels.message import options_of
+    from wirelake.schema.wire import record_bytes
+
+    f = descriptor_pb2.FileDescriptorProto(name="o.proto", package="o", dependency=["google/protobuf/descriptor.proto"], syntax="proto2")
+    f.extension.add(name="mark", number=50_000, label=1, type=9, extendee=".google.protobuf.FieldOptions")
+    field = f.message_type.add(name="M").field.add(name="a", number=1, label=1, type=5)
+    field.options.deprecated = True
+    field.options.MergeFromString(record_bytes(50_000, 2, b"seen"))
+    p = Pool(record_bytes(1, 2, descriptor_pb2.DESCRIPTOR.serialized_pb) + record_bytes(1, 2, f.SerializeToString()))
+    options = options_of(p, p.message("o.M").by_name["a"])
+    assert options.get("deprecated") is True and options.extension("o.mark") == "seen"
+    assert options_of(Pool(SET), Pool(SET).message("t3.Leaf")) is None

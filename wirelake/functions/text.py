@@ -30,13 +30,45 @@ def _fraction(nanos: Column) -> Column:
     )
 
 
+def days_of(seconds) -> Column:
+    """The day number from 1970-01-01 on, also before it."""
+    s = _col(seconds).cast("long")
+    return ((s - F.pmod(s, F.lit(86_400))) / 86_400).cast("int")
+
+
+def timestamp_struct(c) -> Column:
+    """struct<seconds, nanos> of a Spark time stamp; nanos are never negative."""
+    micros = F.unix_micros(_col(c))
+    rest = F.pmod(micros, F.lit(1_000_000))
+    return F.struct(((micros - rest) / 1_000_000).cast("long").alias("seconds"), (rest * 1000).cast("int").alias("nanos"))
+
+
+def struct_to_timestamp(c) -> Column:
+    """A Spark time stamp: what is below a microsecond is lost."""
+    s = _col(c)
+    return F.timestamp_micros(s["seconds"] * 1_000_000 + F.floor(s["nanos"] / 1000).cast("long"))
+
+
+_UNITS = {"seconds": 1, "millis": 1_000, "micros": 1_000_000, "nanos": 1_000_000_000}
+
+
+def duration_struct(c, unit: str = "seconds") -> Column:
+    """struct<seconds, nanos> of a whole number of units, both of one sign."""
+    v, per = _col(c).cast("long"), _UNITS[unit]
+    rest = v % per  # of the sign of v
+    return F.struct(((v - rest) / per).cast("long").alias("seconds"), (rest * (1_000_000_000 // per)).cast("int").alias("nanos"))
+
+
+def mask_contains(paths, path: str) -> Column:
+    """Whether a field mask has just this path."""
+    return F.array_contains(_col(paths), path)
+
+
 def timestamp_to_text(seconds, nanos) -> Column:
     """RFC 3339 with 0, 3, 6 or 9 digits of fraction; null outside the years 1 to 9999. Never by way of a timestamp, which has microseconds."""
     s, n = _col(seconds).cast("long"), _col(nanos).cast("int")
-    days = F.floor(s / 86_400).cast("long")
-    days = (s - F.pmod(s, F.lit(86_400))).cast("long") / 86_400
     rest = F.pmod(s, F.lit(86_400))
-    date = F.date_format(F.date_from_unix_date(days.cast("int")), "yyyy-MM-dd")
+    date = F.date_format(F.date_from_unix_date(days_of(s)), "yyyy-MM-dd")
     two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
     text = F.concat(date, F.lit("T"), two(rest / 3600), F.lit(":"), two(rest / 60 % 60), F.lit(":"), two(rest % 60), _fraction(n), F.lit("Z"))
     return F.when(s.between(-62_135_596_800, 253_402_300_799) & n.between(0, 999_999_999), text)

@@ -468,3 +468,10 @@ def read_delimited(raw: bytes, at: int = 0, limit: int = (1 << 31) - 1) -> tuple
     if at + n > len(raw):
         raise DecodeError("UNEXPECTED_EOF", "length-delimited")
     return raw[at : at + n], at + n
+
+
+def options_of(pool: Pool, desc) -> Message | None:
+    """The options of a field, message, enum or file as a message with its extensions, if the pool has the descriptor types."""
+    kind = {D.FieldDesc: "Field", D.MessageDesc: "Message", D.EnumDesc: "Enum", D.FileDesc: "File"}[type(desc)]
+    name = f"google.protobuf.{kind}Options"
+    return Message.decode(pool, name, desc.options) if name in pool.messages else None

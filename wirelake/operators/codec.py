@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernels import columnar, json_codec, text_codec, yaml_codec
+from ..kernels import columnar, json_codec, text_codec, wkt, yaml_codec
 from ..kernels.message import DEFAULT, Message, Options, read_delimited
 from ..plans import Plan, compile_plan, spark_type
 from ..schema.pool import Pool
@@ -202,6 +202,24 @@ def repack(payload, pool: Pool, message: str, options: Options = DEFAULT) -> Col
     return convert(payload, "binary", lambda raw: Message.decode(pool, message, raw, options).encode())
 
 
+def text_to_timestamp(text, mode: str = FAILFAST) -> Column:
+    """struct<seconds, nanos> of RFC 3339 text."""
+
+    @F.arrow_udf("struct<seconds:bigint,nanos:int>")
+    def run(values: pa.Array) -> pa.Array:
+        out = []
+        for v in values.to_pylist():
+            try:
+                out.append(None if v is None else dict(zip(("seconds", "nanos"), wkt.parse_timestamp(v))))
+            except wkt.BadText:
+                if mode == FAILFAST:
+                    raise
+                out.append(None)
+        return pa.array(out, pa.struct([("seconds", pa.int64()), ("nanos", pa.int32())]))
+
+    return run(_col(text))
+
+
 # ---------------------------------------------------------------- Any
 
 
@@ -221,5 +239,9 @@ def any_unpack(any_column, pool: Pool, message: str, **how) -> Column:
     return decode(F.when(dynamic_type(c) == message, c["value"]), pool, message, **how)
 
 
+def any_is(any_column, message: str) -> Column:
+    return F.coalesce(dynamic_type(any_column) == message, F.lit(False))
+
+
 def plan_of(pool: Pool, message: str, **how) -> Plan:
     return compile_plan(pool, message, **how)

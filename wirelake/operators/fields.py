@@ -6,10 +6,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.wire import is_default, varint_size, zigzag64
 from ..kernels.message import Message
 from ..plans.compile import UNKNOWN
 from ..schema import descriptors as D
 from ..schema.pool import Pool
+from ..schema.wire import varint as _varint
+from .codec import from_json
 
 
 def _col(c) -> Column:
@@ -45,6 +48,47 @@ def field_or_default(struct, pool: Pool, message: str, field: str) -> Column:
     return F.coalesce(c, F.lit(default))
 
 
+def set_field_names(struct, pool: Pool, message: str) -> Column:
+    """The names of all fields that are set, by number."""
+    fields = sorted(pool.message(message).fields, key=lambda f: f.number)
+    return F.filter(F.array(*[F.when(has(struct, pool, message, f.name), F.lit(f.name)) for f in fields]), lambda x: x.isNotNull())
+
+
+def field_by_number(struct, pool: Pool, message: str, number: int) -> Column:
+    return _col(struct)[pool.message(message).by_number[number].name]
+
+
+def encoded_len(struct, pool: Pool, message: str, fields: list[str] | None = None) -> Column:
+    """The bytes that singular scalar fields of a struct take, from the values alone. Fields that are lists, maps or messages need an encoding: they are an error here."""
+    desc = pool.message(message)
+    total = F.lit(0).cast("long")
+    for f in desc.fields if fields is None else [desc.field_named(n) for n in fields]:
+        if f.repeated or f.is_message:
+            raise ValueError(f"{f.full_name} is no singular scalar")
+        c = _col(struct)[f.name]
+        tag = (len(_varint(f.number << 3)))
+        if f.type in (D.STRING, D.BYTES):
+            size = varint_size(F.octet_length(c)) + F.octet_length(c)
+        elif f.type in (D.FIXED32, D.SFIXED32, D.FLOAT):
+            size = F.lit(4)
+        elif f.type in (D.FIXED64, D.SFIXED64, D.DOUBLE):
+            size = F.lit(8)
+        elif f.type == D.BOOL:
+            size = F.lit(1)
+        elif f.type in (D.SINT32, D.SINT64):
+            size = varint_size(zigzag64(c))
+        elif f.type == D.UINT64:
+            size = varint_size(F.when(c > 2**63 - 1, c - 2**64).otherwise(c))
+        else:
+            size = varint_size(c)
+        shown = c.isNotNull() if f.tracks_presence else ~is_default(c, _KINDS.get(f.type, "number"))
+        total = total + F.coalesce(F.when(shown, size + tag), F.lit(0)).cast("long")
+    return total
+
+
+_KINDS = {D.STRING: "string", D.BYTES: "bytes", D.BOOL: "bool", D.FLOAT: "float", D.DOUBLE: "double"}
+
+
 def which_oneof(struct, oneof: str) -> Column:
     """The name of the member that is set, null if none is."""
     return _col(struct)[oneof + "_case"]
@@ -109,6 +153,23 @@ def get_extension(struct, pool: Pool, extension: str) -> Column:
     return run(_col(struct)[UNKNOWN])
 
 
+def has_extension(struct, pool: Pool, extension: str) -> Column:
+    number = pool.extension(extension).number
+    return F.exists(_col(struct)[UNKNOWN], lambda u: u["number"] == number)
+
+
+def clear_extension(struct, pool: Pool, extension: str) -> Column:
+    number = pool.extension(extension).number
+    return keep_unknown(struct, lambda u: u["number"] != number)
+
+
+def extension_payload(json, pool: Pool, extension: str) -> Column:
+    """The payload of an extension set to a JSON value: after another payload it replaces a singular extension there and adds to a repeated one."""
+    x = pool.extension(extension)
+    key = f'{{"[{x.full_name}]":'
+    return from_json(F.concat(F.lit(key), _col(json), F.lit("}")), pool, x.extendee)
+
+
 # ---------------------------------------------------------------- merging
 
 

@@ -252,14 +252,14 @@ def wkt_timestamp_text(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id < 5000 AND event_id <> 5000 THEN '-' ELSE '' END || CAST(abs(event_id - 5000) AS VARCHAR) || CASE WHEN event_id % 2 = 1 THEN '.500' ELSE '' END || 's' AS text, event_id - 5000 AS seconds
-       FROM events WHERE event_id <> 5000"""
+    """SELECT event_id, CASE WHEN event_id < 5000 THEN '-' ELSE '' END || CAST(abs(event_id - 5000) AS VARCHAR) || CASE WHEN event_id % 2 = 1 THEN '.500' ELSE '' END || 's' AS text, event_id - 5000 AS seconds
+       FROM events"""
 )
 def wkt_duration_text(spark, sf_dir):
     seconds = F.col("event_id") - 5000
     nanos = F.when(F.col("event_id") % 2 == 1, 500_000_000 * F.when(seconds < 0, -1).otherwise(1)).otherwise(0)
     text = fn.duration_to_text(seconds, nanos)
-    return table(spark, sf_dir, "events").where("event_id <> 5000").select("event_id", text.alias("text"), fn.text_to_duration(text)["seconds"].alias("seconds"))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text"), fn.text_to_duration(text)["seconds"].alias("seconds"))
 
 
 @query("SELECT p_partkey, 'pBrand,pType' AS mask, 2 AS n FROM part")
@@ -289,19 +289,59 @@ def json_text(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", op.to_json(op.encode(row, pool(), "tables.Customer"), pool(), "tables.Customer").alias("json"))
 
 
+@query(f"SELECT event_id, epoch_us(ts) // 1000000 AS seconds, CAST((epoch_us(ts) % 1000000) * 1000 AS INTEGER) AS nanos FROM (SELECT *, {_STAMP} AS text FROM events)")
+def wkt_timestamp_parse(spark, sf_dir):
+    """RFC 3339 text back to seconds and nanos."""
+    text = fn.timestamp_to_text("v.ts.seconds", "v.ts.nanos")
+    parsed = _events(spark, sf_dir, ["event_id", "ts"]).select("v.event_id", op.text_to_timestamp(text).alias("t"))
+    return parsed.select("event_id", F.col("t.seconds").alias("seconds"), F.col("t.nanos").alias("nanos"))
+
+
+@query("SELECT event_id, ts, CAST(epoch_us(ts) // 86400000000 AS INTEGER) AS day FROM events")
+def wkt_timestamp_struct(spark, sf_dir):
+    """A time stamp to seconds and nanos and back."""
+    stamp = fn.timestamp_struct(F.col("ts").cast("timestamp"))
+    made = table(spark, sf_dir, "events").select("event_id", stamp.alias("s"))
+    return made.select("event_id", fn.struct_to_timestamp("s").cast("timestamp_ntz").alias("ts"), fn.days_of("s.seconds").alias("day"))
+
+
+@query("SELECT event_id, (event_id - 5000) // 1000 AS seconds, CAST((event_id - 5000 - (event_id - 5000) // 1000 * 1000) * 1000000 AS INTEGER) AS nanos FROM events")
+def wkt_duration_struct(spark, sf_dir):
+    """Milliseconds to a duration: seconds and nanos have one sign."""
+    d = fn.duration_struct(F.col("event_id") - 5000, "millis")
+    return table(spark, sf_dir, "events").select("event_id", d["seconds"].alias("seconds"), d["nanos"].alias("nanos"))
+
+
+@query(
+    """SELECT doc_id, octet_length(encode(text)) + 1 + CASE WHEN octet_length(encode(text)) < 128 THEN 1 WHEN octet_length(encode(text)) < 16384 THEN 2 ELSE 3 END AS size FROM documents"""
+)
+def encoded_size_before_encoding(spark, sf_dir):
+    """The size of a message from its columns, without encoding it."""
+    v = F.struct(F.col("text").alias("note"))
+    return table(spark, sf_dir, "documents").select("doc_id", op.encoded_len(v, pool(), "tables.Event", ["note"]).alias("size"))
+
+
 # ---------------------------------------------------------------- unknown fields, extensions, Any, errors
 
 
-@query("SELECT event_id, user_id, 7 AS n_unknown, 1 AS n_kept FROM events WHERE event_id <> 0 AND event_id <> 5000")
+@query("SELECT event_id, user_id, CASE WHEN event_id = 5000 THEN 6 ELSE 7 END AS n_unknown, 1 AS n_kept FROM events")
 def unknown_retain(spark, sf_dir):
     """Decoded with a smaller schema, the other fields are unknown; a filter keeps field 4 and drops the rest."""
     p = pool()
-    v = events(spark, sf_dir).where("event_id <> 0 and event_id <> 5000").select(op.decode("payload", p, "tables.EventCore", unknown=True).alias("v"))
+    v = events(spark, sf_dir).select(op.decode("payload", p, "tables.EventCore", unknown=True).alias("v"))
     kept = op.keep_unknown("v", lambda u: u["number"] == 4)
     again = op.decode(op.encode(kept, p, "tables.EventCore"), p, "tables.EventCore", unknown=True)
     return v.select("v.event_id", "v.user_id", F.size("v._unknown").alias("n_unknown"), F.size(again["_unknown"]).alias("n_kept"))
 
 
+@query(
+    """SELECT event_id, concat_ws(',', CASE WHEN event_id <> 0 THEN 'event_id' END, 'ts', CASE WHEN user_id <> 0 THEN 'user_id' END, 'kind', 'value', CASE event_type WHEN 'view' THEN 'viewed' WHEN 'purchase' THEN 'bought' ELSE 'note' END,
+              'by_kind', CASE WHEN event_id <> 5000 THEN 'rank' END, 'marks') AS names FROM events"""
+)
+def set_field_names(spark, sf_dir):
+    return _events(spark, sf_dir).select("v.event_id", F.array_join(op.set_field_names("v", pool(), "tables.Event"), ",").alias("names"))
+
+
 _EXTENDED = build(FileDef("wirelake/extended.proto", "ext", [MessageDef("Base", [FieldDef("id", 1, "int64")], extension_ranges=[(100, 200)])], extensions=[("Base", FieldDef("label", 100, "string"))], syntax="proto2"))
 
 
@@ -313,6 +353,18 @@ def extension_values(spark, sf_dir):
     return v.select("v.id", op.get_extension("v", p, "ext.label").alias("label"))
 
 
+@query("SELECT o_orderkey AS id, true AS before, false AS after, '\"again\"' AS label FROM orders")
+def extension_edits(spark, sf_dir):
+    """Tested, cleared, and set once more."""
+    p = Pool(_EXTENDED)
+    payload = F.concat(fn.varint_field(1, "o_orderkey"), fn.string_field(100, "o_orderpriority"))
+    v = table(spark, sf_dir, "orders").select(op.decode(payload, p, "ext.Base", unknown=True).alias("v"))
+    cleared = v.select("v", op.clear_extension("v", p, "ext.label").alias("w"))
+    again = op.merge_payloads(op.encode("w", p, "ext.Base"), op.extension_payload(F.lit('"again"'), p, "ext.label"))
+    made = cleared.select("v", "w", op.decode(again, p, "ext.Base", unknown=True).alias("x"))
+    return made.select("v.id", op.has_extension("v", p, "ext.label").alias("before"), op.has_extension("w", p, "ext.label").alias("after"), op.get_extension("x", p, "ext.label").alias("label"))
+
+
 @query(
     """SELECT 'tables.Region' AS type, count(*) AS n, CAST(sum(r_regionkey) AS BIGINT) AS keys FROM region UNION ALL
        SELECT 'tables.Nation', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation"""

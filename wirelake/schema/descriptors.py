@@ -199,44 +199,49 @@ def _text(recs, number, default=""):
     return default if v is None else v.decode()
 
 
-def read_file(raw: bytes) -> FileDesc:
+def _forced(features: Features, name: str, overrides: dict | None) -> Features:
+    return replace(features, **overrides[name]) if overrides and name in overrides else features
+
+
+def read_file(raw: bytes, overrides: dict[str, dict[str, str]] | None = None) -> FileDesc:
+    """``overrides``: features by full name of a message, enum or field, or name of a file; they count as if they stood there."""
     recs = records(raw)
     package = _text(recs, 2)
     syntax = _text(recs, 12, "proto2")
     edition = _last(recs, 14, 0)
     options = b"".join(_all(recs, 8))
-    features = file_features(syntax, edition, b"".join(_all(records(options), 50)))
+    features = _forced(file_features(syntax, edition, b"".join(_all(records(options), 50))), _text(recs, 1), overrides)
     out = FileDesc(_text(recs, 1), package, [x.decode() for x in _all(recs, 3)], syntax, edition, [], [], [], [], raw, options)
     prefix = package + "." if package else ""
     for m in _all(recs, 4):
-        _read_message(m, prefix, features, out)
+        _read_message(m, prefix, features, out, overrides)
     for e in _all(recs, 5):
-        out.enums.append(_read_enum(e, prefix, features, out.name))
+        out.enums.append(_read_enum(e, prefix, features, out.name, overrides))
     for s in _all(recs, 6):
         r = records(s)
         methods = [records(m) for m in _all(r, 2)]
         out.services.append(ServiceDesc(prefix + _text(r, 1), [MethodDesc(_text(m, 1), _text(m, 2).lstrip("."), _text(m, 3).lstrip("."), bool(_last(m, 5, 0)), bool(_last(m, 6, 0))) for m in methods], out.name))
     for x in _all(recs, 7):
-        out.extensions.append(_read_field(x, prefix, features, []))
+        out.extensions.append(_read_field(x, prefix, features, [], overrides))
     return out
 
 
-def _read_enum(raw: bytes, prefix: str, features: Features, file: str) -> EnumDesc:
+def _read_enum(raw: bytes, prefix: str, features: Features, file: str, overrides: dict | None) -> EnumDesc:
     recs = records(raw)
     options = b"".join(_all(recs, 3))
-    features = override(features, b"".join(_all(records(options), 7)))
+    features = _forced(override(features, b"".join(_all(records(options), 7))), prefix + _text(recs, 1), overrides)
     values = [records(v) for v in _all(recs, 2)]
     return EnumDesc(prefix + _text(recs, 1), [(_text(v, 1), signed(_last(v, 2, 0), 32)) for v in values], features.enum == "closed", file, options)
 
 
-def _read_message(raw: bytes, prefix: str, features: Features, file: FileDesc) -> None:
+def _read_message(raw: bytes, prefix: str, features: Features, file: FileDesc, overrides: dict | None) -> None:
     recs = records(raw)
     name = prefix + _text(recs, 1)
     options = b"".join(_all(recs, 7))
     opts = records(options)
-    features = override(features, b"".join(_all(opts, 12)))
+    features = _forced(override(features, b"".join(_all(opts, 12))), name, overrides)
     oneofs = [OneofDesc(_text(o, 1), options=b"".join(_all(o, 2))) for o in map(records, _all(recs, 8))]
-    fields = [_read_field(f, name + ".", features, oneofs) for f in _all(recs, 2)]
+    fields = [_read_field(f, name + ".", features, oneofs, overrides) for f in _all(recs, 2)]
     ranges = [(_last(r, 1, 0), _last(r, 2, 0)) for r in map(records, _all(recs, 5))]
     message = MessageDesc(name, fields, oneofs, ranges, bool(_last(opts, 7, 0)), bool(_last(opts, 1, 0)), file.name, options, features)
     for f in fields:
@@ -245,14 +250,14 @@ def _read_message(raw: bytes, prefix: str, features: Features, file: FileDesc) -
             oneofs[f.oneof].synthetic |= f.proto3_optional
     file.messages.append(message)
     for x in _all(recs, 6):
-        file.extensions.append(_read_field(x, name + ".", features, []))
+        file.extensions.append(_read_field(x, name + ".", features, [], overrides))
     for m in _all(recs, 3):
-        _read_message(m, name + ".", features, file)
+        _read_message(m, name + ".", features, file, overrides)
     for e in _all(recs, 4):
-        file.enums.append(_read_enum(e, name + ".", features, file.name))
+        file.enums.append(_read_enum(e, name + ".", features, file.name, overrides))
 
 
-def _read_field(raw: bytes, prefix: str, features: Features, oneofs: list[OneofDesc]) -> FieldDesc:
+def _read_field(raw: bytes, prefix: str, features: Features, oneofs: list[OneofDesc], overrides: dict | None) -> FieldDesc:
     recs = records(raw)
     options = b"".join(_all(recs, 8))
     opts = records(options)
@@ -261,7 +266,7 @@ def _read_field(raw: bytes, prefix: str, features: Features, oneofs: list[OneofD
     parent = features
     if oneof is not None and oneof < len(oneofs):
         parent = override(features, b"".join(_all(records(oneofs[oneof].options), 1)))
-    own = override(parent, b"".join(_all(opts, 21)))
+    own = _forced(override(parent, b"".join(_all(opts, 21))), prefix + name, overrides)
     packed = _last(opts, 2)
     f = FieldDesc(
         name, signed(_last(recs, 3, 0), 32), _last(recs, 5, 0), _last(recs, 4, OPTIONAL), _text(recs, 6).lstrip("."), _text(recs, 10) or json_name(name), oneof, bool(_last(recs, 17, 0)),

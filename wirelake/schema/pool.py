@@ -22,7 +22,7 @@ class SchemaError(ValueError):
 class Pool:
     """Messages, enums, services and extensions by full name. Plain data: it pickles into tasks."""
 
-    def __init__(self, descriptor_set: bytes | None = None):
+    def __init__(self, descriptor_set: bytes | None = None, overrides: dict[str, dict[str, str]] | None = None):
         self.files: dict[str, FileDesc] = {}
         self.messages: dict[str, MessageDesc] = {}
         self.enums: dict[str, EnumDesc] = {}
@@ -30,7 +30,7 @@ class Pool:
         self.extensions: dict[str, FieldDesc] = {}
         self._by_extendee: dict[tuple[str, int], FieldDesc] = {}
         if descriptor_set is not None:
-            self.add(descriptor_set)
+            self.add(descriptor_set, overrides)
 
     @staticmethod
     def from_file(path: str) -> "Pool":
@@ -38,11 +38,11 @@ class Pool:
         with open(path, "rb") as f:
             return Pool(f.read())
 
-    def add(self, descriptor_set: bytes) -> "Pool":
-        """Adds the files of a set. A file of a name that is there already is left out if its bytes are the same, else an error. All or nothing."""
+    def add(self, descriptor_set: bytes, overrides: dict[str, dict[str, str]] | None = None) -> "Pool":
+        """Adds the files of a set, with features overridden by name (see ``read_file``). A file of a name that is there already is left out if its bytes are the same, else an error. All or nothing."""
         try:
             raws = [v for n, _, v in records(descriptor_set) if n == 1]
-            files = [read_file(r) for r in raws]
+            files = [read_file(r, overrides) for r in raws]
         except (DecodeError, UnicodeDecodeError, AttributeError, TypeError) as e:
             raise SchemaError("BAD_DESCRIPTOR_SET", str(e)) from e
         staged = copy.copy(self)
