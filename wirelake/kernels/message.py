@@ -317,8 +317,6 @@ class Message:
             try:
                 return value.decode()
             except UnicodeDecodeError:
-                if f.utf8 == "none":
-                    return value.decode("utf-8", "surrogateescape")
                 raise DecodeError("INVALID_UTF8", f.full_name) from None
         if t == D.BYTES:
             return value
@@ -393,7 +391,7 @@ class Message:
             body = value.encode()
             out += record_bytes(f.number, GROUP if f.delimited else BYTES, body)
         elif f.type == D.STRING:
-            out += record_bytes(f.number, BYTES, value.encode("utf-8", "surrogateescape"))
+            out += record_bytes(f.number, BYTES, value.encode())
         elif f.type == D.BYTES:
             out += record_bytes(f.number, BYTES, value)
         else:
