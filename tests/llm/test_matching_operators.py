@@ -140,6 +140,17 @@ def test_small_blocks_and_full_caches():
     assert encoded([long])[0] == ENCODING.encode_ordinary(long)
 
 
+def test_long_texts_are_cut_where_it_is_safe(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 50)
+    for seed in range(30):
+        r = random.Random(seed)
+        text = "".join(r.choices(["word", " ", "  ", "\n", "'s", "é", "中", "12", "!?", " don't", "\t"], k=400)) + "x" * 300
+        data = np.frombuffer(text.encode(), np.uint8)
+        cuts = bpe.safe_cuts(data, 50)
+        assert cuts[0] == 0 and cuts[-1] == len(data) and len(cuts) > 5
+        assert bpe.encode_flat(data, np.array([0, len(data)]), bpe.piece_cache(PATH))[0].tolist() == ENCODING.encode_ordinary(text)
+
+
 def test_encode_decode_columns(docs, rows, empty):
     df = bpe.decode(bpe.encode(docs, PATH, offsets=True), PATH)
     got = by_id(df)
@@ -187,6 +198,14 @@ def components(keys, prints, radius=4):
     return [least[root(i)] for i in range(len(keys))]
 
 
+def test_long_fingerprints():
+    for seed in range(20):
+        r = random.Random(seed)
+        text = "".join(r.choices(["word", " ", "  ", "\n", "Éa", "b", "CC "], k=r.choice([0, 3, 8, 500])))
+        for piece in (1, 7, 100):
+            assert simhash.long_fingerprint(np.frombuffer(text.encode(), np.uint8), piece=piece) == fingerprint(text)
+
+
 @pytest.mark.parametrize("size", [0, 1, 3, 7, 8, 31, 32, 33, 64, 100])
 def test_xxh64(size):
     from wirelake.llm._text import word_loads

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._text import KEEP, chunks, flat, spread, word_loads
+from ._text import CHUNK_BYTES, KEEP, chunks, flat, spread, word_loads
 
 # ---------------------------------------------------------------- classes
 
@@ -401,7 +401,15 @@ class PieceCache:
 
 
 def encode_flat(data: np.ndarray, offsets: np.ndarray, cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of texts laid end to end, and the n + 1 offsets of each text's ids."""
+    """Ids of texts laid end to end, and the n + 1 offsets of each text's ids. A text that is long and alone goes in pieces."""
+    if len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:
+        cuts = safe_cuts(data, CHUNK_BYTES)
+        ids = np.concatenate([_encode(data[a:b], np.array([0, b - a]), cache)[0] for a, b in zip(cuts, cuts[1:])])
+        return ids, np.array([0, len(ids)])
+    return _encode(data, offsets, cache)
+
+
+def _encode(data, offsets, cache):
     starts, before = pretokens(data, offsets)
     pieces = cache.find(data, starts, np.append(starts[1:], len(data)))
     counts = cache.counts[pieces]
@@ -409,6 +417,25 @@ def encode_flat(data: np.ndarray, offsets: np.ndarray, cache: PieceCache) -> tup
     return ids, np.concatenate([[0], np.cumsum(counts)])[before]
 
 
+def safe_cuts(data: np.ndarray, size: int = CHUNK_BYTES) -> list[int]:
+    """0, places about so far apart at which a token begins whatever stands around, and the length. Such is a
+    single blank or line break between two visible ASCII characters: what is before it ends there, and it looks no further back."""
+    cuts, n = [0], len(data)
+    while n - cuts[-1] > size:
+        at = cuts[-1] + size
+        while at < n:
+            part = data[at - 1 : at + size + 2]
+            shown = (part > 0x20) & (part < 0x7F)
+            found = np.flatnonzero(shown[:-2] & shown[2:] & ((part[1:-1] == 0x20) | (part[1:-1] == 0x0A)))
+            if len(found):
+                cuts.append(at + int(found[0]))
+                break
+            at += size
+        else:
+            break
+    return [*cuts, n]
+
+
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.from_file(path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import chunks, flat, word_loads
+from ._text import CHUNK_BYTES, chunks, flat, word_loads
 from .shared import discard_table, stored
 
 # ---------------------------------------------------------------- hashing
@@ -130,6 +130,33 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 4, seed: in
     return out
 
 
+def long_fingerprint(data: np.ndarray, width: int = 4, seed: int = 42, piece: int = CHUNK_BYTES) -> int:
+    """The fingerprint of one long text in pieces: counts add up, and each piece begins with the last width - 1 words before it."""
+    counts, total, at, carry = np.zeros(64, np.int64), 0, 0, data[:0]
+    while at < len(data):
+        end = min(at + piece, len(data))
+        while end < len(data) and not (data[end] == 0x20 or 0x09 <= data[end] <= 0x0D):
+            end += 1
+        part = np.concatenate([carry, np.array([0x20], np.uint8), data[at:end]])
+        text, starts, ends, _ = spaced_words(part, np.array([0, len(part)]))
+        n = len(starts) - width + 1
+        if n > 0:
+            hashes = xxh64(word_loads(text), starts[:n], ends[width - 1 :] - starts[:n], seed)
+            counts += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            total += n
+        carry = text[starts[-(width - 1) :][0] :] if len(starts) and width > 1 else data[:0]
+        at = end
+    if not total:
+        return int(fingerprints(carry, np.array([0, len(carry)]), width, seed)[0])
+    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+
+
+def _chunk_prints(data, cuts, width, seed):
+    if len(cuts) == 2 and len(data) > 2 * CHUNK_BYTES:
+        return np.array([long_fingerprint(data, width, seed)], np.uint64)
+    return fingerprints(data, cuts, width, seed)
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", width: int = 4, seed: int = 42, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep and the fingerprint as a signed long. A null text counts as empty: fingerprint 0."""
     named = {f.name: f for f in df.schema.fields}
@@ -138,7 +165,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     def run(batches):
         for batch in batches:
             data, offsets = flat(batch.column(batch.schema.get_field_index(text)))
-            parts = [fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, seed) for i, j in chunks(offsets)]
+            parts = [_chunk_prints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, seed) for i, j in chunks(offsets)]
             made = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(made.view(np.int64))], names=schema.names)
 

@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import piece_cache, pretokens
-from ._text import chunks, flat
+from .bpe import encoded_chunks, piece_cache
 
 BLOCK = 1024
 
@@ -29,13 +28,8 @@ def length_histogram(df: DataFrame, vocab_path: str, text: str = "text") -> Data
     def run(batches):
         cache, counts = piece_cache(vocab_path), Counter()
         for batch in batches:
-            data, offsets = flat(batch.column(0))
-            for i, j in chunks(offsets):
-                part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, before = pretokens(part, cuts)
-                pieces = cache.find(part, starts, np.append(starts[1:], len(part)))
-                sizes = cache.counts[pieces]
-                counts.update(np.diff(np.concatenate([[0], np.cumsum(sizes)])[before]).tolist())
+            for _, _, _, at in encoded_chunks(batch.column(0), cache):
+                counts.update(np.diff(at).tolist())
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
