@@ -30,6 +30,7 @@ PROTO3 = FileDef(
                 F("loose", 27, "int32", repeated=True, packed=False),
             ],
         ),
+        MessageDef("Flat", [F("f_" + s, i + 1, s) for i, s in enumerate(SCALARS)] + [F("r_" + s, i + 101, s, repeated=True) for i, s in enumerate(SCALARS)] + [F("o_" + s, i + 201, s, optional=True) for i, s in enumerate(SCALARS)] + [F("kids", 17, "message:Leaf", repeated=True), F("leaf", 18, "message:Leaf"), F("color", 19, "enum:Color"), F("colors", 20, "enum:Color", repeated=True), F("counts", 21, "map:string,int32"), F("leaves", 22, "map:int64,message:Leaf"), F("flags", 23, "map:bool,enum:Color"), F("pick_int", 24, "int32", oneof="pick"), F("pick_text", 25, "string", oneof="pick"), F("pick_leaf", 26, "message:Leaf", oneof="pick"), F("loose", 27, "int32", repeated=True)]),
         MessageDef("Leaf", [F("id", 1, "int32"), F("name", 2, "string"), F("tags", 3, "string", repeated=True)]),
     ],
     [EnumDef("Color", {"RED": 0, "GREEN": 1, "BLUE": 2, "DARK": -1})],

@@ -37,6 +37,21 @@ def test_json_agrees_with_google(all_class):
         assert json_codec.from_json(POOL, "t3.All", json_format.MessageToJson(m)).encode() == Message.decode(POOL, "t3.All", m.SerializeToString()).encode()
 
 
+def test_json_by_columns_is_json_by_rows(all_class):
+    import pyarrow as pa
+
+    from wirelake.kernels import columnar, json_columns
+    from wirelake.plans import compile_plan
+
+    r = random.Random(8)
+    raw = [fill(r, all_class(), 2).SerializeToString() for _ in range(80)] + [b""]
+    plan = compile_plan(POOL, "t3.Flat", cases=False)
+    for options in (JsonOptions(), JsonOptions(proto_names=True, numbers_for_enums=True)):
+        assert json_columns.can_write(POOL, "t3.Flat", options) and not json_columns.can_write(POOL, "t3.All", options) and not json_columns.can_write(POOL, "t2.Old", options)
+        got = json_columns.write(POOL, plan, columnar.decode_column(plan, pa.array(raw)).struct, options)
+        assert got == [json_codec.to_json(Message.decode(POOL, "t3.Flat", x), options) for x in raw]
+
+
 def test_text_agrees_with_google(all_class):
     r = random.Random(6)
     for _ in range(60):

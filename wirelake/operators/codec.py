@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernels import columnar, json_codec, text_codec, wkt, yaml_codec
+from ..kernels import columnar, json_codec, json_columns, text_codec, wkt, yaml_codec
 from ..kernels.message import DEFAULT, Message, Options, read_delimited
 from ..plans import Plan, compile_plan, spark_type
 from ..schema.pool import Pool
@@ -168,7 +168,20 @@ def convert(column, kind: str, one, mode: str = FAILFAST, errors: tuple = (Value
 
 
 def to_json(payload, pool: Pool, message: str, options: json_codec.JsonOptions = json_codec.DEFAULT, mode: str = FAILFAST) -> Column:
-    return convert(payload, "string", lambda raw: json_codec.to_json(Message.decode(pool, message, raw), options), mode)
+    """Protobuf JSON of a payload: by columns where the message has neither recursion, special types nor extensions, else row by row."""
+    if not json_columns.can_write(pool, message, options):
+        return convert(payload, "string", lambda raw: json_codec.to_json(Message.decode(pool, message, raw), options), mode)
+    plan = compile_plan(pool, message, cases=False, max_depth=100)
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        made = columnar.decode_column(plan, values)
+        if mode == FAILFAST:
+            _checked(made, values)
+        gone = (made.errors != 0) | values.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(json_columns.write(pool, plan, made.struct, options), pa.string(), mask=gone)
+
+    return run(_col(payload))
 
 
 def from_json(text, pool: Pool, message: str, options: json_codec.JsonOptions = json_codec.DEFAULT, mode: str = FAILFAST) -> Column:
