@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where the session has none, as in tests, a temporary folder is made and set."""
+    """The folder in ``spark.checkpoint.dir``. Where the session has none, as in tests, a temporary folder is made and set, and removed at the end."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="wirelake-shared-")
+        made = tempfile.mkdtemp(prefix="wirelake-shared-")
+        atexit.register(shutil.rmtree, made, True)
+        folder = "file://" + made
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
