@@ -132,6 +132,23 @@ def test_a_stream_waits_for_the_rest_of_a_record(spark, tmp_path):
     assert sorted(r[0] for r in spark.table("waits").collect()) == [3, 4, 5]
 
 
+def test_late_rows_are_left_out(spark, tmp_path):
+    """A watermark: what comes after a window is closed doesn't count, in append output."""
+    from wirelake.streaming import windowed
+
+    path = tmp_path / "w"
+    path.mkdir()
+    record = lambda i: (lambda raw: varint(len(raw)) + raw)(Message.from_dict(POOL, "t3.All", {"f_int64": i}).encode())
+    s = decode_stream(spark, str(path), POOL, "t3.All", fields=["f_int64"])
+    counted = windowed(s, F.timestamp_seconds(F.col("value.f_int64")), "1 minute", {"odd": F.col("value.f_int64") % 2}, {"n": F.count(F.lit(1))}, late="30 seconds")
+    q = counted.writeStream.format("memory").queryName("late").outputMode("append").start()
+    for k, seconds in enumerate([[0, 2, 5], [200], [4], [400], [600]]):
+        (path / f"{k}.pb").write_bytes(b"".join(map(record, seconds)))
+        q.processAllAvailable()
+    q.stop()
+    assert sorted((r.window_start.minute, r.odd, r.n) for r in spark.table("late").collect()) == [(0, 0, 2), (0, 1, 1), (3, 0, 1), (6, 0, 1)]
+
+
 def test_containers(spark, tmp_path):
     register(spark)
     df = payloads(spark, [{"f_int32": i} for i in range(5)])

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..kernels import columnar, json_codec, json_columns, text_codec, wkt, yaml_codec
 from ..kernels.message import DEFAULT, Message, Options, read_delimited
-from ..plans import Plan, compile_plan, spark_type
+from ..plans import compile_plan, spark_type
 from ..schema.pool import Pool
 from ..schema.wire import DecodeError, EncodeError
 
@@ -254,7 +254,3 @@ def any_unpack(any_column, pool: Pool, message: str, **how) -> Column:
 
 def any_is(any_column, message: str) -> Column:
     return F.coalesce(dynamic_type(any_column) == message, F.lit(False))
-
-
-def plan_of(pool: Pool, message: str, **how) -> Plan:
-    return compile_plan(pool, message, **how)

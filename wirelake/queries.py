@@ -422,6 +422,14 @@ def delimited_scan(spark, sf_dir):
     return v.agg(F.count(F.lit(1)).alias("n"), F.sum("v.event_id").alias("ids"))
 
 
+@query("SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, user_id, count(*) AS n, max(value) AS most FROM events GROUP BY ALL")
+def batch_windows(spark, sf_dir):
+    """The same function on a batch."""
+    v = _events(spark, sf_dir, ["ts", "user_id", "value"])
+    made = windowed(v, F.timestamp_seconds(F.col("v.ts.seconds")), "1 day", {"user_id": F.col("v.user_id")}, {"n": F.count(F.lit(1)), "most": F.max("v.value")})
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
 @query("SELECT event_id, octet_length(encode(event_type)) AS bytes FROM events")
 def delimited_in_rows(spark, sf_dir):
     """Two length-prefixed messages in one value, taken apart."""
@@ -438,8 +446,8 @@ def stream_windows(spark, sf_dir):
     path = _folder(spark, "stream")
     events(spark, sf_dir).select("payload").write.format("delimited").mode("append").save(path)
     stream = decode_stream(spark, path, pool(), "tables.Event", fields=["ts", "kind", "value"])
-    kind = fn.enum_name("value.kind", {n: k for k, n in KINDS.items()}).alias("kind")
-    counted = windowed(stream, F.timestamp_seconds(F.col("value.ts.seconds")), "1 day", [kind], [F.count(F.lit(1)).alias("n"), F.sum("value.value").alias("total")])
+    kind = fn.enum_name("value.kind", {n: k for k, n in KINDS.items()})
+    counted = windowed(stream, F.timestamp_seconds(F.col("value.ts.seconds")), "1 day", {"kind": kind}, {"n": F.count(F.lit(1)), "total": F.sum("value.value")})
     name = "wirelake_" + path.rpartition("-")[2].replace("/", "_")
     run = counted.writeStream.format("memory").queryName(name).outputMode("complete").start()
     try:

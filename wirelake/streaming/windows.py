@@ -16,21 +16,15 @@ def decode_stream(spark: SparkSession, path: str, pool: Pool, message: str, **ho
     return spark.readStream.format("delimited").load(path).withColumn("value", decode("payload", pool, message, **how))
 
 
-def windowed(df: DataFrame, time: Column, width: str, keys: list[Column], aggregates: list[Column], late: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Aggregates by event-time window and keys; what comes later than ``late`` is left out, and state is dropped with it. For batches the same without a watermark."""
-    timed = df.withColumn("__time", time)
+def windowed(df: DataFrame, time: Column, width: str, keys: dict[str, Column], aggregates: dict[str, Column], late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """window_start, window_end, keys and aggregates by name. What comes later than ``late`` is left out, and state is dropped with it; batches have no watermark."""
+    timed = df.select(time.alias("__time"), *[c.alias(n) for n, c in keys.items()], F.struct("*").alias("__row"))
     if df.isStreaming:
         timed = timed.withWatermark("__time", late)
+    flat = timed.select("__time", *keys, *[F.col("__row")[c].alias(c) for c in df.columns if c not in keys])
     window = F.window("__time", width, slide) if slide else F.window("__time", width)
-    return timed.groupBy(window.alias("window"), *keys).agg(*aggregates).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in _names(timed, keys)], *[F.col(n) for n in _aliases(aggregates)])
-
-
-def _aliases(columns: list[Column]) -> list[str]:
-    return [c._jc.toString().rpartition(" AS ")[2].strip("`") for c in columns]
-
-
-def _names(df: DataFrame, keys: list[Column]) -> list[Column]:
-    return [F.col(n) for n in _aliases(keys)]
+    grouped = flat.groupBy(window.alias("window"), *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, *aggregates)
 
 
 def last_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
