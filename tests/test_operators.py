@@ -132,6 +132,26 @@ def test_a_stream_waits_for_the_rest_of_a_record(spark, tmp_path):
     assert sorted(r[0] for r in spark.table("waits").collect()) == [3, 4, 5]
 
 
+def test_boundaries(tmp_path):
+    import random
+
+    from pyarrow import fs
+
+    from wirelake.sources.delimited import last_boundary
+
+    r = random.Random(3)
+    raw, ends = b"", [0]
+    for _ in range(300):
+        n = r.choice([0, 1, 100, 127, 128, 20_000])
+        raw += varint(n) + bytes(n)
+        ends.append(len(raw))
+    (tmp_path / "a").write_bytes(raw)
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a")) as f:
+        for size in [0, 1, len(raw), *[r.randrange(len(raw)) for _ in range(50)]]:
+            want = max(e for e in ends if e <= size)
+            assert last_boundary(f, 0, size, 1 << 20) == want and last_boundary(f, max(e for e in ends if e <= want // 2), size, 1 << 20) == want
+
+
 def test_late_rows_are_left_out(spark, tmp_path):
     """A watermark: what comes after a window is closed doesn't count, in append output."""
     from wirelake.streaming import windowed

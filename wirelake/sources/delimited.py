@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schema.wire import DecodeError, varint
 
@@ -36,8 +36,8 @@ def list_files(path: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
 
 
-def read_records(where, path: str, start: int, end: int, limit: int, tail: bool = False) -> Iterator[tuple[int, bytes]]:
-    """(position, payload) of the records from ``start`` to ``end``. ``tail``: a record that is cut off there ends the walk, else it is an error."""
+def read_records(where, path: str, start: int, end: int, limit: int) -> Iterator[tuple[int, bytes]]:
+    """(position, payload) of the records from ``start`` to ``end``; one that is cut off there is an error."""
     with where.open_input_file(path) as f:
         held, base, at = b"", start, 0
         while True:
@@ -64,7 +64,7 @@ def read_records(where, path: str, start: int, end: int, limit: int, tail: bool
             want = min(end - got, max(_PIECE, used + size - len(held) if done else 10))
             more = f.read_at(want, got) if want > 0 else b""
             if not more:
-                if held and not tail:
+                if held:
                     raise DecodeError("UNEXPECTED_EOF", f"{path} at {base}")
                 return
             held += more
@@ -95,16 +95,20 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         where, _ = _filesystem(self.path)
         for path, size in partition.files:
+            yield from _batches(where, path, 0, size, self.limit)
+
+
+def _batches(where, path: str, start: int, end: int, limit: int):
+    places, payloads, held = [], [], 0
+    for at, payload in read_records(where, path, start, end, limit):
+        places.append(at)
+        payloads.append(payload)
+        held += len(payload)
+        if held > _PIECE or len(places) >= 50_000:
+            yield _batch(path, places, payloads)
             places, payloads, held = [], [], 0
-            for at, payload in read_records(where, path, 0, size, self.limit):
-                places.append(at)
-                payloads.append(payload)
-                held += len(payload)
-                if held > _PIECE or len(places) >= 50_000:
-                    yield _batch(path, places, payloads)
-                    places, payloads, held = [], [], 0
-            if places:
-                yield _batch(path, places, payloads)
+    if places:
+        yield _batch(path, places, payloads)
 
 
 def _batch(path, places, payloads):
@@ -155,42 +159,70 @@ class _Writer(DataSourceWriter):
                 where.delete_file(m.path)
 
 
-class _Stream(SimpleDataSourceStreamReader):
+def last_boundary(file, at: int, size: int, limit: int) -> int:
+    """Where the last whole record before ``size`` ends, from a boundary on. Only lengths are looked at: bytes of long records are not read."""
+    block, base = b"", at
+    while at < size:
+        if at + 10 > base + len(block) and base + len(block) < size or at > base + len(block):
+            block, base = file.read_at(min(_PIECE >> 3, size - at), at), at
+        n = shift = used = 0
+        for c in block[at - base : at - base + 10]:
+            n |= (c & 0x7F) << shift
+            used += 1
+            if c < 0x80:
+                break
+            shift += 7
+        else:
+            if used == 10:
+                raise DecodeError("VARINT_TOO_LONG", f"record at {at}")
+            break
+        if n > limit:
+            raise DecodeError("MESSAGE_TOO_LARGE", f"record at {at}: {n}")
+        if at + used + n > size:
+            break
+        at += used + n
+    return at
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+class _Stream(DataSourceStreamReader):
+    """Offsets are the ends of whole records by file. The driver walks lengths; payloads are read by tasks, a file's new records by one."""
+
     def __init__(self, path: str, options: dict):
-        self.path, self.limit = path, int(options.get("maxMessageSize", (1 << 31) - 1))
-        self.most = int(options.get("maxRecordsPerBatch", 100_000))
+        self.path, self.limit, self.known = path, int(options.get("maxMessageSize", (1 << 31) - 1)), {}
 
     def initialOffset(self):
         return {}
 
-    def read(self, start):
-        """At most ``maxRecordsPerBatch`` new records, file by file."""
+    def latestOffset(self):
         where, _ = _filesystem(self.path)
-        rows, ends = [], dict(start)
         for path, size in list_files(self.path):
-            at = ends.get(path, 0)
-            if at >= size or len(rows) >= self.most:
-                continue
-            for position, payload in read_records(where, path, at, size, self.limit, tail=True):
-                rows.append((path, position, payload))
-                at = position + len(varint(len(payload))) + len(payload)
-                if len(rows) >= self.most:
-                    break
-            ends[path] = at
-        return iter(rows), ends
+            at = self.known.get(path, 0)
+            if size > at:
+                with where.open_input_file(path) as f:
+                    self.known[path] = last_boundary(f, at, size, self.limit)
+        return dict(self.known)
+
+    def partitions(self, start, end):
+        return [_Range(path, start.get(path, 0), end[path]) for path in sorted(end) if end[path] > start.get(path, 0)]
 
-    def readBetweenOffsets(self, start, end):
+    def read(self, partition):
         where, _ = _filesystem(self.path)
-        for path in sorted(end):
-            for position, payload in read_records(where, path, start.get(path, 0), end[path], self.limit):
-                yield path, position, payload
+        yield from _batches(where, partition.path, partition.start, partition.end, self.limit)
 
     def commit(self, end):
         pass
 
+    def stop(self):
+        pass
+
 
 class DelimitedSource(DataSource):
-    """Options: path; maxMessageSize; filesPerPartitionBytes (batch); maxRecordsPerBatch (stream); column, the one to write (payload)."""
+    """Options: path; maxMessageSize; filesPerPartitionBytes (batch); column, the one to write (payload)."""
 
     @classmethod
     def name(cls):
@@ -205,7 +237,7 @@ class DelimitedSource(DataSource):
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], overwrite, self.options.get("column", "payload"))
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Stream(self.options["path"], dict(self.options))
 
 
