@@ -8,8 +8,10 @@ document by reading the blocks that hold it. All numbers are little-endian.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PieceCache, encoded_chunks
+from ._text import chunks, flat
+from .bpe import PieceCache, encode_flat
 
 BLOCK_IDS = 4096
 MAGIC = b"WLBITS01"
@@ -145,13 +148,12 @@ _caches: dict[str, PieceCache] = {}
 
 
 def library_cache(path: str) -> PieceCache:
-    """Pieces as the tokenizers library encodes them; it sees each new piece once."""
+    """Pieces as the tokenizers library encodes them; it sees each new piece once. Texts are cut at added tokens before, so no piece holds one."""
     if path not in _caches:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
 
         def merge(pieces: list[bytes]) -> list[np.ndarray]:
             made = tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
@@ -161,6 +163,57 @@ def library_cache(path: str) -> PieceCache:
     return _caches[path]
 
 
+@functools.lru_cache(maxsize=4)
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
+    """A pattern for the literals of the file's added tokens, of those that begin together the longest first, and their ids."""
+    with open(path, "rb") as f:
+        added = json.load(f).get("added_tokens") or []
+    for t in added:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized"):
+            raise ValueError(f"an added token that is more than its literal: {t['content']}")
+    ids = {t["content"].encode(): t["id"] for t in added if t["content"]}
+    return (re.compile(b"|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None), ids
+
+
+def encoded_with_added(column: pa.Array, cache: PieceCache, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As ``encoded_chunks``, with every literal of an added token as its id; what is left and right of one is encoded on its own."""
+    pattern, added = added_tokens(path)
+    data, offsets = flat(column)
+    for i, j in chunks(offsets):
+        part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        found = [] if pattern is None else [(m.start(), m.end(), added[m[0]]) for m in pattern.finditer(part)]
+        if found:  # not those that reach from one text into the next
+            text = np.searchsorted(own, [a for a, _, _ in found], "right")
+            if any(b > own[k] for (_, b, _), k in zip(found, text)):
+                found = [(a + m.start(), a + m.end(), added[m[0]]) for a, b in zip(own[:-1], own[1:]) for m in pattern.finditer(part[a:b])]
+        if not found:
+            ids, at = encode_flat(part, own, cache)
+            yield i, j, ids, at
+            continue
+        spans = np.array(found)
+        cuts = np.sort(np.concatenate([own, spans[:, 0], spans[:, 1]]))  # places twice are empty slices
+        literal = np.searchsorted(spans[:, 0], cuts[:-1], "right") - 1
+        inside = (literal >= 0) & (cuts[:-1] == spans[literal, 0]) & (cuts[1:] > cuts[:-1])
+        sizes, made = np.diff(cuts), []
+        keep = np.repeat(~inside, sizes)
+        bare = np.concatenate([[0], np.cumsum(np.where(inside, 0, sizes))])
+        if len(own) == 2:  # slices of a text that may be long, each of which may go in pieces
+            made = [encode_flat(part[a:b], np.array([0, b - a]), cache)[0] for a, b in zip(cuts[:-1][~inside], cuts[1:][~inside])]
+            counts = np.zeros(len(sizes), np.int64)
+            counts[~inside] = [len(x) for x in made]
+            rest = np.concatenate(made)
+        else:
+            rest, at = encode_flat(part[keep], bare, cache)
+            counts = np.diff(at)
+        counts = np.where(inside, 1, counts)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.empty(at[-1], np.int64)
+        hole = np.zeros(len(ids), bool)
+        hole[at[:-1][inside]] = True
+        ids[hole], ids[~hole] = spans[literal[inside], 2], rest
+        yield i, j, ids, at[np.searchsorted(cuts, own)]
+
+
 def write_files(df: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int, text: str = "text", key: str = "doc_id") -> list[dict]:
     """Encodes all texts, ends each with ``end_id`` and writes files in ascending key order, rows without a key first, rows with one key by text.
 
@@ -181,7 +234,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, vocabulary: int
                 where.create_dir(base, recursive=True)
                 writer = Writer(where.open_output_stream(f"{base}/{path}"), bits)
             keys = batch.column(0)
-            for i, j, ids, at in encoded_chunks(batch.column(1), cache):
+            for i, j, ids, at in encoded_with_added(batch.column(1), cache, tokenizer_path):
                 part = keys.slice(i, j - i)
                 counts = np.diff(at) + 1
                 ends = np.cumsum(counts) - 1
