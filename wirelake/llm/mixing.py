@@ -76,25 +76,33 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int
 
 
 def _topped_up(sized: DataFrame, sources: DataFrame, rows: int, rounds: int = 8, near: float = 0.005) -> DataFrame:
-    """Adds ``more``, an array of hashes above the bound that are taken once more as well: in each round the largest document that fits in
-    what a source still lacks, until every source is within ``near`` of its target. A source of few documents would else miss it by up to a long one."""
+    """Adds ``more``, an array of hashes above the bound that are taken once more as well: in each round the one that holds most words that fit in
+    what a source still lacks, until every source is within ``near`` of its target or nothing fits. Where it ends nearer its target with one that
+    holds more than was lacking in some round, such as that at the bound, this is taken in place of those of that and later rounds."""
     whole = F.least(F.col("whole") + (F.col("hash") < F.col("below")).cast("long"), F.lit(MOST_EPOCHS).cast("long"))
-    extra = ~F.array_contains("more", F.col("hash")) & (F.col("hash") >= F.col("below")) & (F.col("whole") < MOST_EPOCHS)
-    sources = sources.withColumn("more", F.array().cast("array<bigint>"))
+    known = _with_sources(sized.select("source", "size", "hash"), sources, rows, "source")
+    now = known.groupBy("source").agg(F.sum(F.col("size") * whole).alias("now"))
+    above = stored(known.where((F.col("hash") >= F.col("below")) & (F.col("whole") < MOST_EPOCHS)).groupBy("source", "hash").agg(F.sum("size").alias("mass")).where("mass > 0"), "above")
+    hashes = F.array().cast("array<bigint>")
+    begun = _with_sources(sources, now, rows, "source").withColumns({"lack": F.col("target") - F.col("now"), "more": hashes, "other": hashes})
+    state = stored(begun.withColumn("miss", F.abs("lack")).drop("now"), "lack")
     for _ in range(rounds):
-        known = _with_sources(sized.select("source", "size", "hash"), sources, rows, "source")
-        taken = known.groupBy("source").agg(F.sum(F.col("size") * (whole + F.array_contains("more", F.col("hash")).cast("long"))).alias("now"))
-        lack = stored(_with_sources(sources, taken, rows, "source").withColumn("lack", F.col("target") - F.col("now")), "lack")
-        if not lack.where(F.col("lack") > near * F.col("target")).limit(1).count():
+        if not state.where(F.col("lack") > near * F.col("target")).limit(1).count():
             break
-        fits = _with_sources(sized.select("source", "size", "hash"), lack, rows, "source").where(extra & (F.col("size") > 0) & (F.col("size") <= F.col("lack")))
-        best = fits.groupBy("source").agg(F.max(F.struct("size", "hash")).alias("best")).select("source", "best.hash")
-        mass = _with_sources(sized.select("source", "size", F.col("hash").alias("h")), best, rows, "source").where("h = hash").groupBy("source", "hash").agg(F.sum("size").alias("mass"))
-        side = mass.select(F.col("source").alias("__source"), "hash", "mass")
-        joined = lack.join(side, F.col("source").eqNullSafe(F.col("__source")), "left")
-        more = F.when(F.coalesce(F.col("mass") < 2 * F.col("lack"), F.lit(False)), F.array_append("more", F.col("hash"))).otherwise(F.col("more"))
-        sources = stored(joined.select("source", "source_size", "target", "whole", "below", more.alias("more")), "mix")
-    return sources
+        left = _with_sources(above, state.select("source", "lack", "more"), rows, "source").where(~F.array_contains("more", F.col("hash")) & (F.col("mass") < 2 * F.col("lack")))
+        fits = F.col("mass") <= F.col("lack")
+        best = left.groupBy("source").agg(F.max(F.when(fits, F.struct("mass", "hash"))).alias("fit"), F.min(F.when(~fits, F.struct("mass", "hash"))).alias("over"))
+        joined = state.join(best.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+        nearer = F.coalesce(F.col("over.mass") - F.col("lack") < F.col("miss"), F.lit(False))
+        joined = joined.withColumns({"other": F.when(nearer, F.array_append("more", F.col("over.hash"))).otherwise(F.col("other")), "miss": F.when(nearer, F.col("over.mass") - F.col("lack")).otherwise(F.col("miss"))})
+        fitted = F.col("fit").isNotNull()
+        joined = joined.withColumns({"more": F.when(fitted, F.array_append("more", F.col("fit.hash"))).otherwise(F.col("more")), "lack": F.when(fitted, F.col("lack") - F.col("fit.mass")).otherwise(F.col("lack")), "moved": fitted})
+        state = stored(joined.drop("fit", "over"), "mix")
+        if not state.where("moved").limit(1).count():
+            break
+        state = state.drop("moved")
+    chosen = F.when(F.col("miss") < F.abs("lack"), F.col("other")).otherwise(F.col("more"))
+    return state.select("source", "source_size", "target", "whole", "below", chosen.alias("more"))
 
 
 def repetitions(hash_: Column) -> Column:
@@ -111,7 +119,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
 
     size: words; a null text has none and is never taken. taken: size times its repetitions. Rows that repeat a key are taken alike;
     a null key has one hash. A null source is a source of its own, the last. A source's taken words miss its target by
-    less than any document that could still be added, or by half of what shares one hash. An empty table gives an empty table. Extra columns are ignored.
+    at most half of what the hash at its bound holds, or half a percent. An empty table gives an empty table. Extra columns are ignored.
     """
     sized = stored(_sized(df, text, source, key, seed, (key,)), "sizes")
     sources, rows = plan(sized)
