@@ -41,6 +41,8 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, ("-----BEGIN ",)),
 )
 BASE = ("assign", "access", "hex")
+#: What is masked: of a private key all lines to its END, or the header alone where none follows before other such dashes. A key has few other hyphens.
+MASKED = (*RULES[:-1], Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++-{1,4}(?!-)){0,64}+[^-]*+-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0, ("-----BEGIN ",)))
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,version:int>"
 
@@ -150,7 +152,7 @@ def masked(text: Column, spans: Column, by: str = "[secret]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.concat(acc["made"], F.substr(text, acc["at"] + 1, F.length(text))))).otherwise(text)
 
 
-def mask_secrets(df: DataFrame, ledger: str | None = None, text: str = "text", chars: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def mask_secrets(df: DataFrame, ledger: str | None = None, text: str = "text", chars: str = "n_chars", rules: tuple[Rule, ...] = MASKED) -> DataFrame:
     """``df`` with its secrets masked, and ``chars``, where there is such a column, counted again for texts that changed.
 
     Findings come through the ledger and are joined back by blob; only blobs with findings take part in that join.
