@@ -62,8 +62,8 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removes every 400-byte string that occurs more than once from every document."""
-    return suffix_dedup.removed(documents(spark, sf_dir))
+    """Removes every 400-byte string that occurs more than once from every document, and counts the words in repeated passages of over 50 words."""
+    return suffix_dedup.removed(documents(spark, sf_dir), passages=True)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,13 @@ s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY
 r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
 runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM r GROUP BY doc_id, run),
 holes AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
-kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS k, sum(b - a) AS n_removed, count(*) AS n_spans FROM holes JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS k, sum(b - a) AS n_removed, count(*) AS n_spans FROM holes JOIN d USING (doc_id) GROUP BY doc_id),
+words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+pw AS (SELECT doc_id, i, md5_number(array_to_string(l[i:i + 50], ' ')) AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 49)) AS i FROM words)),
+pc AS (SELECT k FROM pw GROUP BY k HAVING count(*) > 1),
+passages AS (SELECT doc_id, sum(least(51, coalesce(following - i, 51))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM pw SEMI JOIN pc USING (k)) GROUP BY doc_id)
+SELECT doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256,
+       CAST(d.n - coalesce(n_removed, 0) AS BIGINT) AS n_kept, CAST(coalesce(passages.n, 0) AS BIGINT) AS n_passage_words, passages.n IS NOT NULL AS has_passage
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN passages USING (doc_id)
 """,
 }
