@@ -1,7 +1,8 @@
 """Document quality from a linear-chain conditional random field over lines.
 
-Every line is good or bad, by features of its own and of the lines beside it and by its neighbours' states.
-Forward and backward messages are products of 2 x 2 matrices, which are associative: all lines of all texts
+Every line is good or bad, by features of its own and of the lines beside it and by its neighbours' states. Only
+documents have labels, so states of lines are latent in training: a label says what most of a document's text is
+like, and which lines differ follows from the lines. Forward and backward messages are products of 2 x 2 matrices, which are associative: all lines of all texts
 at hand form one chain that restarts at each text, and it is scanned in blocks side by side. A document's
 score is the mean marginal of its lines, weighted by their length.
 """
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import chunks, flat, word_loads
+from ._text import chunks, flat, spread, word_loads
+from .shared import stored
 from .simhash import xxh64
 
 FEATURES = ("log_bytes", "log_words", "word_bytes", "symbols", "digits", "capitals", "high_bytes", "ends_sentence", "same_as_last_word", "seen_words", "seen_pairs", "seen_line", "empty", "bars")
@@ -49,6 +51,22 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(text, np.arange(n + 1))
 
 
+def word_hashes(data: np.ndarray, word: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """XXH64 of words; of those over 64 bytes, a sum over their pieces of 64 bytes and the places of these."""
+    loads = word_loads(data)
+    out = np.empty(len(word), np.uint64)
+    long = length > 64
+    out[~long] = xxh64(loads, word[~long], length[~long])
+    if long.any():
+        pieces = -(-length[long] // 64)
+        place = spread(np.zeros(len(pieces), np.int64), pieces)
+        at = np.repeat(word[long], pieces) + 64 * place
+        each = xxh64(loads, at, np.minimum(64, np.repeat(word[long] + length[long], pieces) - at))
+        each = (each ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x165667B19E3779F9)
+        out[long] = np.add.reduceat(each ^ (each >> np.uint64(29)), np.cumsum(pieces) - pieces) + length[long].astype(np.uint64)
+    return out
+
+
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of every line with those of the line before and after it in its text (zeros at the edges), its length, and the line offsets of the texts."""
     starts, ends, before = lines_of(data, offsets)
@@ -73,9 +91,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     word_end = np.minimum(word_end, offsets[1:][owner_text])
     line = np.searchsorted(starts, word, "right") - 1
     length = word_end - word
-    # Words of over 64 bytes are told apart by their first and last 32.
-    loads = word_loads(data)
-    hashes = xxh64(loads, word, np.minimum(length, 32)) ^ (xxh64(loads, word_end - np.minimum(length, 32), np.minimum(length, 32), 7) + length.astype(np.uint64))
+    hashes = word_hashes(data, word, length)
     words = np.bincount(line, minlength=n).astype(np.float64)
     same = np.zeros(len(word), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (owner_text[1:] == owner_text[:-1])
@@ -95,7 +111,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         [
             np.log1p(size), np.log1p(words), count(~white) / np.maximum(words, 1) / 10, count(_SYMBOLS[data]) / np.maximum(size, 1) * 5, count((data >= 0x30) & (data <= 0x39)) / np.maximum(size, 1) * 5,
             count((data >= 0x41) & (data <= 0x5A)) / np.maximum(size, 1) * 5, count(data >= 0x80) / np.maximum(size, 1), last.astype(float), share(same), share(_seen(owner_text, hashes)),
-            share(_seen(owner_text, pair)), (_seen(text, whole) & (words > 0)).astype(float), (words == 0).astype(float), np.minimum(count(data == 0x7C), 10) / 10,
+            share(_seen(owner_text, pair)), (_seen(text, whole) & (words > 0)).astype(float), (words == 0).astype(float), np.log1p(count(data == 0x7C)),
         ],
         1,
     )
@@ -158,10 +174,10 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray
 
-    def marginals(self, features: np.ndarray, before: np.ndarray, pairs: bool = False):
-        """P(good) of every line, and, if asked for, the expected number of steps between states."""
+    def marginals(self, features: np.ndarray, before: np.ndarray, pairs: np.ndarray | None = None, shift: np.ndarray | float = 0.0):
+        """P(good) of every line, with ``shift`` added to the scores for good; with ``pairs``, weights of lines, also the expected steps between states by the weight of the later line."""
         n = len(features)
-        score = np.clip((features - self.mean) / self.spread @ self.weights, -30, 30)
+        score = np.clip((features - self.mean) / self.spread @ self.weights + shift, -30, 30)
         local = np.stack([np.ones(n), np.exp(score)], 1)
         local /= local.max(1, keepdims=True)
         fresh = np.zeros(n, bool)
@@ -180,11 +196,11 @@ class Model:
         beta /= beta.sum(1, keepdims=True)
         both = alpha * beta
         good = both[:, 1] / both.sum(1)
-        if not pairs:
+        if pairs is None:
             return good
         inner = np.flatnonzero(~fresh)
         joint = alpha[inner - 1][:, :, None] * into[inner] * beta[inner][:, None, :]
-        return good, (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        return good, (joint / joint.sum((1, 2), keepdims=True) * pairs[inner, None, None]).sum(0)
 
     def score(self, features: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Per text: its lines' marginals weighted by length."""
@@ -199,33 +215,66 @@ def blank_model(k: int) -> Model:
     return Model(np.zeros(k), np.zeros((2, 2)), np.zeros(2), np.zeros(k), np.ones(k))
 
 
-def fit(features: np.ndarray, before: np.ndarray, labels: np.ndarray, rounds: int = 200, rate: float = 0.08, decay: float = 1e-3) -> Model:
-    """Maximum likelihood, with squares of all weights added, by Adam. Lines have their document's label; each document weighs the same whatever its length.
+#: A document labelled good holds good lines in at least that share of its length, one labelled bad in at most the rest.
+MOSTLY = 0.6
+
 
-    Without documents, the model that knows nothing."""
+def _constrained(model: Model, x: np.ndarray, before: np.ndarray, labels: np.ndarray, part: np.ndarray, weight: np.ndarray, steps: int = 10):
+    """Marginals (and expected steps) of the nearest distribution to the model's in which every document is mostly of its label. The lines' scores shift by one
+    number per document, in proportion to their share of the length, found by halving."""
+    counts, firsts = np.diff(before), before[:-1]
+    sign = np.where(labels == 1, 1.0, -1.0)
+    # Shares of the length, against those of an even split, so that a shift means the same in short and long documents.
+    pull = part * np.repeat(counts, counts)
+    mean = lambda good: np.add.reduceat(good * part, firsts)
+    holds = lambda good: np.where(labels == 1, mean(good) >= MOSTLY, mean(good) <= 1 - MOSTLY)
+    low, high = np.zeros(len(counts)), np.full(len(counts), 30.0)
+    high[holds(model.marginals(x, before))] = 0
+    for _ in range(steps):
+        middle = (low + high) / 2
+        enough = holds(model.marginals(x, before, shift=np.repeat(sign * middle, counts) * pull))
+        high, low = np.where(enough, middle, high), np.where(enough, low, middle)
+    return model.marginals(x, before, weight, np.repeat(sign * high, counts) * pull)
+
+
+def fit(features: np.ndarray, size: np.ndarray, before: np.ndarray, labels: np.ndarray, passes: int = 5, rounds: int = 40, rate: float = 0.1, decay: float = 1e-3) -> Model:
+    """Expectation-maximisation with documents' labels as constraints on latent lines (posterior regularisation).
+
+    It starts from each line's own features alone, with all lines labelled as their document, and without steps between states, so that lines of one document may
+    differ from the beginning. Every pass takes the lines' distribution under the constraints and moves the field towards it, by Adam with
+    squares of all weights added. Each document weighs the same whatever its length. Without documents, the model that knows nothing.
+    """
     k = features.shape[1]
     if len(before) < 2:
         return blank_model(k)
-    mean, spread = features.mean(0), features.std(0) + 1e-6
-    mean[-1], spread[-1] = 0, 1
-    model = Model(np.zeros(k), np.zeros((2, 2)), np.zeros(2), mean, spread)
-    counts = np.diff(before)
-    label = np.repeat(labels, counts).astype(np.float64)
-    x = (features - mean) / spread
+    mean, spread_ = features.mean(0), features.std(0) + 1e-6
+    mean[-1], spread_[-1] = 0, 1
+    model = Model(np.zeros(k), np.zeros((2, 2)), np.zeros(2), mean, spread_)
+    counts, firsts = np.diff(before), before[:-1]
     docs = len(counts)
-    same = np.array([[((1 - labels) * (counts - 1)).sum(), 0.0], [0.0, (labels * (counts - 1)).sum()]])
-    firsts = before[:-1]
-    m = v = np.zeros(k + 6)
-    for t in range(1, rounds + 1):
-        good, expected = model.marginals(features, before, True)
-        start = good[firsts]
-        grad = np.concatenate([x.T @ (label - good), (same - expected).ravel(), [(start - labels).sum(), (labels - start).sum()]]) / docs
-        grad -= decay * np.concatenate([model.weights, model.steps.ravel(), model.begin])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        model.weights = model.weights + step[:k]
-        model.steps = model.steps + step[k : k + 4].reshape(2, 2)
-        model.begin = model.begin + step[k + 4 :]
+    part = size / np.repeat(np.add.reduceat(size, firsts), counts)
+    weight = np.repeat(1 / counts, counts)  # of a line in its document
+    x = (features - mean) / spread_
+    own = np.zeros(k, bool)
+    own[: (k - 1) // 3] = own[-1] = True
+    for n in range(passes + 1):
+        if n:
+            target, target_steps = _constrained(model, features, before, labels, part, weight)
+        else:
+            target = np.repeat(labels, counts).astype(np.float64)
+        m = v = np.zeros(k + 6)
+        for t in range(1, rounds + 1):
+            good, expected = model.marginals(features, before, weight)
+            begin = (weight[firsts] * (good[firsts] - target[firsts])).sum()
+            grad = np.concatenate([x.T @ (weight * (target - good)), (target_steps - expected).ravel() if n else np.zeros(4), [begin, -begin] if n else np.zeros(2)]) / docs
+            if not n:
+                grad[:k][~own] = 0
+            grad -= decay * np.concatenate([model.weights, model.steps.ravel(), model.begin])
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            model.weights = model.weights + step[:k]
+            model.steps = model.steps + step[k : k + 4].reshape(2, 2)
+            model.begin = model.begin + step[k + 4 :]
     return model
 
 
@@ -236,30 +285,40 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most_documents: int = 4000, most_lines: int = 2000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most_documents: int = 4000, most_lines: int = 400_000) -> Model:
     """Fits on a bounded sample of labelled rows that aren't held out.
 
-    The ``most_documents`` labels with the least hashes of their keys are taken, and of their documents those of at most ``most_lines`` lines. Only
-    features reach the driver. Null labels and keys are left out.
+    The ``most_documents`` labels with the least hashes of their keys are taken, and of their documents, in that order, those that come to no more than
+    ``most_lines`` lines together. Only features reach the driver, 344 bytes a line at most. Null labels and keys are left out; documents that repeat a key all count.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~F.coalesce(held_out(key), F.lit(True)))
-    sample = usable.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__key"), "__key", "label").limit(most_documents)
-    chosen = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(sample), "__key").select("__key", "label", "text")
+    sample = usable.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).orderBy(F.xxhash64("__key"), "__key", "__label").limit(most_documents)
+    chosen = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), "__key").select("__key", "__label", "__text")
 
     def run(batches):
         for batch in batches:
             data, offsets = flat(batch.column(2))
             for i, j in chunks(offsets):
                 features, size, before = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                packed = [pickle.dumps(features[a:b].astype(np.float32)) if b - a <= most_lines else None for a, b in zip(before, before[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(packed, pa.binary())], names=["key", "label", "lines"])
-
-    schema = f"key {docs.schema[key].dataType.simpleString()}, label int, lines binary"
-    rows = chosen.mapInArrow(run, schema).where("lines is not null").orderBy("key", "label", "lines").limit(most_documents).collect()
+                packed = [pickle.dumps((features[a:b].astype(np.float32), size[a:b])) if b - a <= most_lines else None for a, b in zip(before, before[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(before)), pa.array(packed, pa.binary())], names=["key", "label", "n", "lines"])
+
+    schema = f"key {docs.schema[key].dataType.simpleString()}, label int, n long, lines binary"
+    made = stored(chosen.mapInArrow(run, schema).where("lines is not null"), "line-features")
+    order = F.xxhash64("key"), "key", "label", "n", F.xxhash64("lines")
+    listed = made.orderBy(*order).limit(most_documents)
+    total = taken = 0
+    for r in listed.select("n").collect():
+        total += r.n
+        if total > most_lines:
+            break
+        taken += 1
+    rows = made.orderBy(*order).limit(taken).collect()
     width = 3 * len(FEATURES) + 1
-    parts = [pickle.loads(r.lines).astype(np.float64) for r in rows]
-    before = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return fit(np.concatenate(parts) if parts else np.zeros((0, width)), before, np.array([r.label for r in rows], np.float64))
+    parts = [pickle.loads(r.lines) for r in rows]
+    before = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])]).astype(np.int64)
+    features = np.concatenate([p[0] for p in parts]).astype(np.float64) if parts else np.zeros((0, width))
+    return fit(features, np.concatenate([p[1] for p in parts]) if parts else np.zeros(0), before, np.array([r.label for r in rows], np.float64))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", threshold: float = 0.7) -> DataFrame:
@@ -278,7 +337,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
 
 
 def line_quality(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, line, good): the marginal of every line, as an array per row would hold it in order."""
+    """(key, line, good): the marginal of every line, as an array per row would hold it in order.
+
+    A null or empty text is one empty line; rows that repeat give their lines as often. Extra columns are ignored; no rows give no rows."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def _repeated(words: Column, hashes: Column) -> Column:
 
 
 def with_counts(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_distinct_words (long).
+    """Adds n_words, word_chars, n_symbols, n_symbol_ends (words that end in one), n_stops (sentence marks), n_dup_lines, n_repeat_words, n_lines and n_distinct_words (long).
 
     Words are ``[^\\x20\\x09-\\x0D]+``; a null text has none. Windows are told apart by a 64-bit hash of their words.
     """
@@ -57,6 +58,8 @@ def with_counts(df: DataFrame, text: str = "text", prefix: str = "") -> DataFram
         "n_words": n,
         "word_chars": F.length(F.array_join(words, "")),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
+        "n_symbol_ends": F.regexp_count(t, F.lit(r"[#*$%&|<>](?![^\x20\x09-\x0D])")),
+        "n_stops": F.regexp_count(t, F.lit("[.!?\u3002\u0964]")),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_lines": F.size(lines),
         "n_distinct_words": F.size(F.array_distinct(words)),
@@ -69,20 +72,24 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
-#: Rule: when it votes bad, when it votes good; otherwise it abstains. {x} stands for a count.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_symbol_ends", "n_stops", "n_dup_lines", "n_lines", "n_distinct_words", "n_repeat_words")
+
+#: Rule: when it votes bad, when it votes good; otherwise it abstains. {x} stands for a count. Variety is held against the square root of the length, as vocabularies grow.
 RULES: dict[str, tuple[str, str]] = {
     "length": ("{n_words} < 10", "{n_words} >= 25"),
     "symbols": ("10 * {n_symbols} > {n_words}", "50 * {n_symbols} <= {n_words}"),
     "repeats": ("100 * {n_repeat_words} > 20 * {n_words}", "100 * {n_repeat_words} <= 5 * {n_words}"),
     "lines": ("2 * {n_dup_lines} > {n_lines}", "{n_lines} >= 3 and 10 * {n_dup_lines} <= {n_lines}"),
     "word_length": ("{word_chars} > 12 * {n_words} or {word_chars} < 2 * {n_words}", "{word_chars} between 3 * {n_words} and 9 * {n_words}"),
-    "variety": ("{n_words} >= 20 and {n_words} < 2000 and 4 * {n_distinct_words} < {n_words}", "{n_words} >= 20 and {n_words} < 2000 and 10 * {n_distinct_words} >= 4 * {n_words}"),
+    "variety": ("{n_words} >= 20 and {n_distinct_words} * {n_distinct_words} < 4 * {n_words}", "{n_words} >= 20 and {n_distinct_words} * {n_distinct_words} >= 9 * {n_words}"),
+    "symbol_ends": ("20 * {n_symbol_ends} > {n_words}", "100 * {n_symbol_ends} <= {n_words}"),
+    "stops": ("{n_words} >= 25 and 25 * {n_stops} < {n_words}", "{n_words} >= 25 and 20 * {n_stops} >= {n_words}"),
 }
 
 
 def votes(prefix: str = "") -> dict[str, Column]:
     """1 good, 0 bad, null abstains."""
-    fill = {k: f"`{prefix}{k}`" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_distinct_words", "n_repeat_words")}
+    fill = {k: f"`{prefix}{k}`" for k in COUNTS}
     return {name: F.when(F.expr(bad.format(**fill)), 0).when(F.expr(good.format(**fill)), 1) for name, (bad, good) in RULES.items()}
 
 
@@ -120,36 +127,46 @@ class LabelModel:
         return 1 / (1 + odds)
 
 
-def fit(patterns: list[tuple[dict[str, int | None], int]], rounds: int = 200, pseudo: float = 5.0) -> LabelModel:
+#: Prior rates at which a rule accuses good documents, those bad in its way, and those bad in another, and the share of good documents.
+#: WEIGHT: so many votes at the prior rate of good documents and of a rule's own class, and so much of all votes at that of other classes.
+PRIOR_GOOD, PRIOR_OWN, PRIOR_OTHER, PRIOR_SHARE, WEIGHT, OTHER_WEIGHT = 0.01, 0.9, 0.05, 0.8, 5.0, 0.02
+LEAST = 1e-4
+
+
+def fit(patterns: list[tuple[dict[str, int | None], int]], rounds: int = 500) -> LabelModel:
     """Expectation-maximisation over (votes, number of documents), at most 3 to the number of rules of them.
 
-    It starts from rules that seldom accuse a good document (1 in 100), nearly always one that is bad in their way (9 in 10), and
-    a tenth of those that are bad in another. Classes keep their meaning: a rule accuses at most 1 in 50 good documents and at
-    least half of those that are bad in its way. ``pseudo`` votes at the starting rates are added to each count. An empty histogram
-    gives the starting model.
+    Rates are free between 1 in 10,000 and all but that; priors, not bounds, tell the classes apart. The one that matters is that what is bad in
+    some way is accused by other rules as well, at PRIOR_OTHER or, where rules are about the same thing, as often as the data say. So accusations that
+    no other rule ever shares are taken for a rule's errors about good documents, and rules that fire together are not taken for
+    independent witnesses: their agreement is what a class of bad documents looks like. An empty histogram gives the starting model.
     """
     rules = list(RULES)
     classes = [GOOD, *rules]
-    start = {c: {r: 0.01 if c == GOOD else 0.9 if c == r else 0.1 for r in rules} for c in classes}
-    begin = {c: 0.8 if c == GOOD else 0.2 / len(rules) for c in classes}
-    model = LabelModel(begin, start)
+    prior = np.full((len(classes), len(rules)), PRIOR_OTHER)
+    prior[0] = PRIOR_GOOD
+    prior[1:][np.eye(len(rules), dtype=bool)] = PRIOR_OWN
+    begin = np.array([PRIOR_SHARE, *[(1 - PRIOR_SHARE) / len(rules)] * len(rules)])
     patterns = sorted(patterns, key=lambda p: [(-1 if p[0][r] is None else p[0][r]) for r in rules])
-    n = sum(c for _, c in patterns)
-    for model.rounds in range(1, rounds + 1) if n else ():
-        weights = [model.weights(v) for v, _ in patterns]
-        share = {c: (sum(k * w[c] for (_, k), w in zip(patterns, weights)) + pseudo * begin[c]) / (n + pseudo) for c in classes}
-        accuses = {}
-        for c in classes:
-            accuses[c] = {}
-            for r in rules:
-                cast = [(k * w[c], v[r]) for (v, k), w in zip(patterns, weights) if v[r] is not None]
-                rate = (sum(k for k, v in cast if not v) + pseudo * start[c][r]) / (sum(k for k, _ in cast) + pseudo)
-                accuses[c][r] = min(0.02, max(1e-4, rate)) if c == GOOD else min(0.995, max(0.5, rate)) if c == r else min(0.995, max(0.005, rate))
-        moved = max([abs(share[c] - model.share[c]) for c in classes] + [abs(accuses[c][r] - model.accuses[c][r]) for c in classes for r in rules])
-        model.share, model.accuses = share, accuses
+    said = np.array([[-1 if v[r] is None else v[r] for r in rules] for v, _ in patterns]).reshape(-1, len(rules))
+    count = np.array([c for _, c in patterns], float)
+    n = count.sum()
+    bad, cast = (said == 0).astype(float), (said >= 0).astype(float)
+    weight = np.full(prior.shape, max(WEIGHT, OTHER_WEIGHT * n))
+    weight[0] = WEIGHT
+    weight[1:][np.eye(len(rules), dtype=bool)] = WEIGHT
+    share, rate, done = begin, prior, 0
+    for done in range(1, rounds + 1) if n else ():
+        logs = np.log(share) + bad @ np.log(rate).T + (cast - bad) @ np.log(1 - rate).T
+        of = np.exp(logs - logs.max(1, keepdims=True))
+        of *= (count / of.sum(1))[:, None]
+        new_share = (of.sum(0) + WEIGHT * begin) / (n + WEIGHT)
+        new_rate = np.clip((of.T @ bad + weight * prior) / (of.T @ cast + weight), LEAST, 1 - LEAST)
+        moved = max(np.abs(new_share - share).max(), np.abs(new_rate - rate).max())
+        share, rate = new_share, new_rate
         if moved < 1e-9:
             break
-    return model
+    return LabelModel(dict(zip(classes, share.tolist())), {c: dict(zip(rules, row)) for c, row in zip(classes, rate.tolist())}, done)
 
 
 def fit_on(counted: DataFrame, prefix: str = "") -> LabelModel:
@@ -175,7 +192,7 @@ def judged(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that are kept, with all their columns and no others."""
+    """The rows of ``df`` that are kept, with all their columns and no others. Rows with a null or empty text go; rows that repeat one stay or go together; no rows give no rows."""
     # All columns travel in one struct, so none clashes with a count.
     counted = stored(with_counts(df.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text").drop("text"), "counts")
     return verdicts(counted, fit_on(counted)).where("kept").select("row.*")
