@@ -7,7 +7,6 @@ position in every file: a record that is cut off at the end of a growing file wa
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,18 +14,15 @@ from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schema.wire import DecodeError, varint
+from .files import file_system
 
 SCHEMA = "path string, position long, payload binary"
 _PIECE = 8 << 20
 
 
-def _filesystem(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
-
-
 def list_files(path: str) -> list[tuple[str, int]]:
     """(path, size) of a file, or of the files of a folder whose names begin with neither a dot nor an underscore, by name."""
-    where, base = _filesystem(path)
+    where, base = file_system(path)
     info = where.get_file_info(base)
     if info.type == pafs.FileType.File:
         return [(base, info.size)]
@@ -51,6 +47,8 @@ def read_records(where, path: str, start: int, end: int, limit: int) -> Iterator
                     done = True
                     break
                 shift += 7
+            if used == 10 and head[9] > 1:
+                raise DecodeError("VARINT_TOO_LONG", f"{path} at {base + at}")
             if done and size > limit:
                 raise DecodeError("MESSAGE_TOO_LARGE", f"{path} at {base + at}: {size}")
             if not done and used == 10:
@@ -93,7 +91,7 @@ class _Reader(DataSourceReader):
         return groups or [_File([])]
 
     def read(self, partition):
-        where, _ = _filesystem(self.path)
+        where, _ = file_system(self.path)
         for path, size in partition.files:
             yield from _batches(where, path, 0, size, self.limit)
 
@@ -129,7 +127,7 @@ class _Writer(DataSourceWriter):
     def write(self, iterator):
         import uuid
 
-        where, base = _filesystem(self.path)
+        where, base = file_system(self.path)
         where.create_dir(base, recursive=True)
         name = f"{base}/.part-{uuid.uuid4().hex}.pb"
         n = 0
@@ -143,7 +141,7 @@ class _Writer(DataSourceWriter):
         return _Done(name, n)
 
     def commit(self, messages):
-        where, base = _filesystem(self.path)
+        where, base = file_system(self.path)
         if self.overwrite:
             for path, _ in list_files(self.path):
                 where.delete_file(path)
@@ -153,7 +151,7 @@ class _Writer(DataSourceWriter):
                 where.move(m.path, f"{folder}/{name[1:]}")
 
     def abort(self, messages):
-        where, _ = _filesystem(self.path)
+        where, _ = file_system(self.path)
         for m in messages:
             if m is not None:
                 where.delete_file(m.path)
@@ -199,7 +197,7 @@ class _Stream(DataSourceStreamReader):
         return {}
 
     def latestOffset(self):
-        where, _ = _filesystem(self.path)
+        where, _ = file_system(self.path)
         for path, size in list_files(self.path):
             at = self.known.get(path, 0)
             if size > at:
@@ -211,7 +209,7 @@ class _Stream(DataSourceStreamReader):
         return [_Range(path, start.get(path, 0), end[path]) for path in sorted(end) if end[path] > start.get(path, 0)]
 
     def read(self, partition):
-        where, _ = _filesystem(self.path)
+        where, _ = file_system(self.path)
         yield from _batches(where, partition.path, partition.start, partition.end, self.limit)
 
     def commit(self, end):
