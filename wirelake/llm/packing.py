@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelake.sources.files import file_system
+
 from ._text import chunks, flat
 from .bpe import PieceCache, encode_flat
 
@@ -103,7 +104,7 @@ class Reader:
     """Random access to one file: ``ids(start, count)``, ``document(i)``, and all documents in turn."""
 
     def __init__(self, path: str):
-        where, name = pafs.FileSystem.from_uri(path)
+        where, name = file_system(path)
         self.file = where.open_input_file(name)
         size = self.file.size()
         head = _HEAD.unpack(self.file.read_at(_HEAD.size, size - _HEAD.size))
@@ -226,7 +227,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, vocabulary: int
 
     def run(batches):
         task = TaskContext.get()
-        where, base = pafs.FileSystem.from_uri(folder)
+        where, base = file_system(folder)
         path = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bits"
         cache, writer, n = library_cache(tokenizer_path), None, 0
         for batch in batches:
@@ -254,7 +255,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, vocabulary: int
     for row in rows:
         manifest.append({"path": f"{folder}/{row.path}", "documents": row.documents, "ids": row.ids, "start": start})
         start += row.ids
-    where, base = pafs.FileSystem.from_uri(folder)
+    where, base = file_system(folder)
     where.create_dir(base, recursive=True)
     with where.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps({"bits": bits, "end_id": end_id, "files": manifest}).encode())

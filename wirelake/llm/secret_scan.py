@@ -89,7 +89,8 @@ LEDGER = f"blob string, scanned array<string>, spans array<{SPAN}>"
 def update_ledger(versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
     """Scans the blobs of ``versions`` with the rules in whose present version they haven't been scanned, and appends to the ledger at that path.
 
-    Texts meet once per blob: copies are dropped before the shuffle and after it. A null text is the empty blob.
+    Texts meet once per blob: copies are dropped before the shuffle and after it. A null text is the empty blob. Scans at the same time, or one
+    that is run again after its append, may enter a blob twice; readers count its findings once.
     """
     spark = versions.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
@@ -113,6 +114,15 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(ledger)
 
 
+def live_findings(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of blobs in which the present versions of the rules found something, sorted by start, then rule. A ledger that holds a blob and rule twice, as after a
+    retried or concurrent scan, has each finding once."""
+    current = F.array(*[F.lit(r.tag) for r in rules])
+    live = F.filter("spans", lambda s: F.array_contains(current, F.concat_ws("@", s["kind"], s["version"].cast("string"))))
+    found = ledger.select("blob", live.alias("spans")).where(F.size("spans") > 0)
+    return found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))  # a row for each time that rules changed or a scan was repeated
+
+
 def scan(versions: DataFrame, ledger: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The columns to keep, blob and spans (sorted by start, then rule) for every row of ``versions``.
 
@@ -122,12 +132,10 @@ def scan(versions: DataFrame, ledger: str | None = None, text: str = "text", kee
     spark = versions.sparkSession
     ledger = ledger or new_path(spark, "ledger")
     update_ledger(versions, ledger, text, rules)
-    found = spark.read.schema(LEDGER).parquet(ledger)
-    current = F.array(*[F.lit(r.tag) for r in rules])
-    live = F.filter("spans", lambda s: F.array_contains(current, F.concat_ws("@", s["kind"], s["version"].cast("string"))))
-    found = found.select("blob", live.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a row for each time that rules changed
-    paths = versions.select(*keep, blob_id(F.col(text)).alias("blob"))
-    return paths.join(found, "blob", "left").select(*keep, "blob", F.coalesce(F.array_sort("spans"), F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    found = live_findings(spark.read.schema(LEDGER).parquet(ledger), rules)
+    # What is kept travels in one struct, so none of it clashes with the ledger's columns.
+    paths = versions.select(F.struct(*keep).alias("__row"), blob_id(F.col(text)).alias("blob"))
+    return paths.join(found, "blob", "left").select(*[F.col("__row")[k].alias(k) for k in keep], "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -155,12 +163,13 @@ def masked(text: Column, spans: Column, by: str = "[secret]") -> Column:
 def mask_secrets(df: DataFrame, ledger: str | None = None, text: str = "text", chars: str = "n_chars", rules: tuple[Rule, ...] = MASKED) -> DataFrame:
     """``df`` with its secrets masked, and ``chars``, where there is such a column, counted again for texts that changed.
 
-    Findings come through the ledger and are joined back by blob; only blobs with findings take part in that join.
+    Findings of the present rule versions come through the ledger and are joined back by blob; only blobs with findings take part in that join.
+    A null text stays null, rows that repeat come out as often as they came in, no rows give no rows, and all columns pass.
     """
     spark = df.sparkSession
     ledger = ledger or new_path(spark, "ledger")
     update_ledger(df, ledger, text, rules)
-    found = spark.read.schema(LEDGER).parquet(ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = live_findings(spark.read.schema(LEDGER).parquet(ledger), rules)
     # All columns travel in one struct, so none clashes with those of the ledger.
     marked = df.select(blob_id(F.col(text)).alias("blob"), F.struct("*").alias("row")).join(found, "blob", "left")
     changed = F.coalesce(F.size("spans") > 0, F.lit(False))

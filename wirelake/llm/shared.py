@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where the session has none, as in tests, a temporary folder is made and set, and removed at the end."""
+    """The folder in ``spark.checkpoint.dir``. Where a local session has none, as in tests, a temporary folder is made and set, and removed at the end; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="wirelake-shared-")
         atexit.register(shutil.rmtree, made, True)
         folder = "file://" + made
@@ -22,8 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+RUN = "spark.wirelake.run"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/wirelake/{label}-{uuid.uuid4().hex}"
+    run = spark.conf.get(RUN, None)
+    return f"{shared_folder(spark)}/wirelake/{run + '/' if run else ''}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[str]:
+    """Tables made inside go to a folder of their own, which is deleted at the end. Write results inside: they may read those tables until then."""
+    before, run = spark.conf.get(RUN, None), f"run-{uuid.uuid4().hex}"
+    spark.conf.set(RUN, run)
+    try:
+        yield run
+    finally:
+        spark.conf.unset(RUN) if before is None else spark.conf.set(RUN, before)
+        discard(spark, f"{shared_folder(spark)}/wirelake/{run}")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -181,17 +181,14 @@ def segments(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-#: Up to so many classes three segments have few enough to a bucket; beyond, two segments of 32 bits. The links are the same.
-THREE_SEGMENTS = 1 << 22
-
-
-def links(classes: DataFrame, radius: int = 4, parts: int = 3, node: str = "node", fingerprint: str = "fingerprint") -> DataFrame:
+def links(classes: DataFrame, radius: int = 4, parts: int = 2, node: str = "node", fingerprint: str = "fingerprint") -> DataFrame:
     """All pairs (a, b), a < b, of classes whose fingerprints differ in at most ``radius`` bits, at most twice plus one as many as ``parts``.
 
     ``classes`` has one row per distinct fingerprint. Of two fingerprints, some segment differs in at most radius // parts bits. For balls
     of one bit each class probes its ball against a table of plain segments; for balls of two bits the table holds balls of one
     bit as well, so that the two meet halfway and rows stay a constant, some 130, per class however fingerprints are
-    spread. Each pair comes out once: from the first segment in which the two lie within the ball, in one of the
+    spread. Two segments of 32 bits keep buckets small at any number of classes; three of 21 bits make half the rows, but what meets in a bucket
+    grows as the square of the classes. Each pair comes out once: from the first segment in which the two lie within the ball, in one of the
     ways to meet. A bucket that many classes share is split by the join's skew handling, and only verified pairs leave the join.
     """
     ball, cut = radius // parts, segments(parts)
@@ -266,7 +263,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return made.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, parts: int | None = None, width: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, parts: int = 2, width: int = 4, seed: int = 42) -> DataFrame:
     """(key, fingerprint as a signed long, component_id) for every row.
 
     Rows whose fingerprints differ in at most ``radius`` bits are linked, and component_id is the smallest key
@@ -276,7 +273,6 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radi
     """
     marked = stored(with_fingerprint(df, text, "fingerprint", width, seed, (key,)), "fingerprints")
     classes = stored(marked.groupBy("fingerprint").agg(F.min(key).alias("node")), "classes")
-    parts = parts or (3 if classes.count() <= THREE_SEGMENTS else 2)
     roots = components(links(classes.where("node is not null"), radius, parts), "links")
     rooted = classes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("component_id"))
     return marked.join(rooted, "fingerprint").select(key, "fingerprint", "component_id")
