@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,3 +58,25 @@ KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 def bytes_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return None
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that gives memory back at the end of a task: Python workers wait for the next task, of another operator perhaps, and would hold on to what they once needed."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim():
+                _trim()(0)
+
+    return wrapped

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._text import CHUNK_BYTES, KEEP, chunks, flat, spread, word_loads
+from ._text import CHUNK_BYTES, KEEP, chunks, flat, spread, trimmed, word_loads
 
 # ---------------------------------------------------------------- classes
 
@@ -483,7 +483,7 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "token
                     arrays.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(where - np.repeat(firsts, counts), pa.int64())))
                 yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in others.columns] + arrays, names=names + [n for n, _ in extra])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def decode(df: DataFrame, vocab_path: str, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
@@ -499,7 +499,7 @@ def decode(df: DataFrame, vocab_path: str, tokens: str = "tokens", out: str = "d
             made = [vocab.decode(np.array(r, np.int64)).tobytes() if r else b"" for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(made, pa.binary())], names=[*names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 DIGEST_SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -528,4 +528,4 @@ def round_trip(df: DataFrame, vocab_path: str, text: str = "text", keys: tuple[s
                     names=schema.names,
                 )
 
-    return df.select(*keys, text).mapInArrow(run, schema)
+    return df.select(*keys, text).mapInArrow(trimmed(run), schema)

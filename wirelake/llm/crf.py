@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import chunks, flat, spread, word_loads
+from ._text import chunks, flat, spread, trimmed, word_loads
 from .shared import stored
 from .simhash import xxh64
 
@@ -304,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(before)), pa.array(packed, pa.binary())], names=["key", "label", "n", "lines"])
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, label int, n long, lines binary"
-    made = stored(chosen.mapInArrow(run, schema).where("lines is not null"), "line-features")
+    made = stored(chosen.mapInArrow(trimmed(run), schema).where("lines is not null"), "line-features")
     order = F.xxhash64("key"), "key", "label", "n", F.xxhash64("lines")
     listed = made.orderBy(*order).limit(most_documents)
     total = taken = 0
@@ -332,7 +332,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
                 made = model.score(*line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.clip(made, 0, 1))], names=["key", "held_out", "score"])
 
-    out = docs.select(F.col(key).alias("key"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), F.col(text)).mapInArrow(run, f"key {kind}, held_out boolean, score double")
+    out = docs.select(F.col(key).alias("key"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), F.col(text)).mapInArrow(trimmed(run), f"key {kind}, held_out boolean, score double")
     return out.select(F.col("key").alias(key), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -351,4 +351,4 @@ def line_quality(docs: DataFrame, model: Model, text: str = "text", key: str = "
                 row = np.repeat(np.arange(i, j), np.diff(before))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.arange(len(good)) - np.repeat(before[:-1], np.diff(before))), pa.array(good)], names=["key", "line", "good"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {kind}, line long, good double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(trimmed(run), f"key {kind}, line long, good double").withColumnRenamed("key", key)

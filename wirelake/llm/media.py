@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._text import chunks, flat
+from ._text import chunks, flat, trimmed
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
@@ -206,7 +206,7 @@ def to_media(df: DataFrame, text: str = "text", out: str = "media", level: int =
                 made = [write_png(pixels_of(data[offsets[k] : offsets[k + 1]]), level) for k in range(i, j)]
                 yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in others.columns] + [pa.array(made, pa.binary())], names=[*names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 FEATURE_FIELDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -234,4 +234,4 @@ def media_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] =
                 [batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=schema.names
             )
 
-    return df.select(*keep, media).mapInArrow(run, schema)
+    return df.select(*keep, media).mapInArrow(trimmed(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wirelake.sources.files import file_system
 
-from ._text import chunks, flat
+from ._text import chunks, flat, trimmed
 from .bpe import PieceCache, encode_flat
 
 BLOCK_IDS = 4096
@@ -250,7 +250,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, vocabulary: int
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()]), pa.array([path]), pa.array([n], pa.int64()), pa.array([writer.ids], pa.int64())], names=["part", "path", "documents", "ids"])
 
-    rows = sorted(ordered.mapInArrow(run, "part long, path string, documents long, ids long").collect())
+    rows = sorted(ordered.mapInArrow(trimmed(run), "part long, path string, documents long, ids long").collect())
     manifest, start = [], 0
     for row in rows:
         manifest.append({"path": f"{folder}/{row.path}", "documents": row.documents, "ids": row.ids, "start": start})
@@ -282,4 +282,4 @@ def read_files(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(reader.starts[i:j] + base, pa.int64()), pa.array(reader.ends[i:j] - reader.starts[i:j], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
-    return files.repartition(max(1, len(manifest))).mapInArrow(run, READ_SCHEMA)
+    return files.repartition(max(1, len(manifest))).mapInArrow(trimmed(run), READ_SCHEMA)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import CHUNK_BYTES, chunks, flat, word_loads
+from ._text import CHUNK_BYTES, chunks, flat, trimmed, word_loads
 from .shared import discard_table, stored
 
 # ---------------------------------------------------------------- hashing
@@ -169,7 +169,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
             made = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(made.view(np.int64))], names=schema.names)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, text).mapInArrow(trimmed(run), schema)
 
 
 # ---------------------------------------------------------------- links

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import CHUNK_BYTES, chunks, flat, spread, word_loads
+from ._text import CHUNK_BYTES, chunks, flat, spread, trimmed, word_loads
 from .shared import discard_table, stored
 from .simhash import xxh64
 
@@ -307,7 +307,7 @@ def repeats(df: DataFrame, text: str = "text", unit: Unit = BYTES, release: bool
     spark = df.sparkSession
     hashed = _with_hashes(df.select(F.col(text).alias("text")), "text").select("t1", "t2", "text")
     long = F.octet_length("text") >= (2 * unit.window - 1 if unit.words else unit.window)
-    found = stored(hashed.where(long).mapInArrow(_blocks_of(unit), BLOCK_SCHEMA), "blocks")
+    found = stored(hashed.where(long).mapInArrow(trimmed(_blocks_of(unit)), BLOCK_SCHEMA), "blocks")
     ranked = stored(found.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("t1", "t2", "start", "windows", "reach")).alias("at")), "ranked")
     _release(spark, release)
     twice = ranked.where("copies > 1").select("rank", "block")
@@ -318,12 +318,12 @@ def repeats(df: DataFrame, text: str = "text", unit: Unit = BYTES, release: bool
     shared_ranks = ranked.groupBy("rank").count().where("count > 1").select("rank")
     unsettled = ranked.join(shared_ranks, "rank", "left_semi").select("at.*", "rank", F.least("copies", F.lit(2)).cast("int").alias("copies"))
     wanted = unsettled.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "windows", "reach", "rank", "copies")).alias("wanted"))  # no more than the text has blocks
-    contexts = stored(_distinct(df, text, unit).join(wanted, ["t1", "t2"]).mapInArrow(_contexts_of(unit), CONTEXT_SCHEMA), "contexts")
+    contexts = stored(_distinct(df, text, unit).join(wanted, ["t1", "t2"]).mapInArrow(trimmed(_contexts_of(unit)), CONTEXT_SCHEMA), "contexts")
     _release(spark, release)
     discard_table(ranked)
     todo = contexts.withColumns({"parts": F.array(F.struct(F.lit(0).alias("part"), "rank")), "wide": F.lit(2 * unit.window)})
     for length in unit.stretches:
-        cut = stored(todo.mapInArrow(_stretches_of(unit, length), STRETCH_SCHEMA), "stretches")
+        cut = stored(todo.mapInArrow(trimmed(_stretches_of(unit, length)), STRETCH_SCHEMA), "stretches")
         one = F.struct("t1", "t2", "start", "part")
         whole = cut.groupBy("old", "core", "whole").agg(F.sum("copies").alias("n"), F.min(one).alias("one"))
         alike = whole.groupBy("old", "core").agg(F.sum("n").alias("m"), F.min("n").alias("least")).where("m > 1")
@@ -398,7 +398,7 @@ def _cut_out(batches):
 def kept_texts(df: DataFrame, text: str = "text", release: bool = True) -> DataFrame:
     """(t1, t2, kept, spans) for every different text that loses bytes: what is left of it, as binary since cuts may fall within a character, and the
     removed runs of bytes, apart and in order. ``t1`` and ``t2`` are ``xxhash64(text)`` and ``xxhash64(7, text)``."""
-    return _distinct(df, text, BYTES).join(_spans(df, text, BYTES, release), ["t1", "t2"]).mapInArrow(_cut_out, "t1 long, t2 long, kept binary, spans array<struct<low:bigint,high:bigint>>")
+    return _distinct(df, text, BYTES).join(_spans(df, text, BYTES, release), ["t1", "t2"]).mapInArrow(trimmed(_cut_out), "t1 long, t2 long, kept binary, spans array<struct<low:bigint,high:bigint>>")
 
 
 def shared_passages(df: DataFrame, text: str = "text", unit: Unit = WORDS, release: bool = True) -> DataFrame:
@@ -409,7 +409,7 @@ def shared_passages(df: DataFrame, text: str = "text", unit: Unit = WORDS, relea
             counts = [int((high - low).sum()) for low, high in _row_spans(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["t1", "t2", "n_passage_words"])
 
-    return _spans(df, text, unit, release).mapInArrow(run, "t1 long, t2 long, n_passage_words long")
+    return _spans(df, text, unit, release).mapInArrow(trimmed(run), "t1 long, t2 long, n_passage_words long")
 
 
 def removed(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), passages: bool = False, release: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import trimmed
 from .bpe import encoded_chunks, piece_cache
 
 BLOCK = 1024
@@ -33,7 +34,7 @@ def length_histogram(df: DataFrame, vocab_path: str, text: str = "text") -> Data
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
-    partial = df.select(text).mapInArrow(run, "n_tokens long, n_docs long")
+    partial = df.select(text).mapInArrow(trimmed(run), "n_tokens long, n_docs long")
     return partial.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
