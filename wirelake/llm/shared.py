@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -64,3 +65,10 @@ def discard_table(df: DataFrame) -> None:
     files = df.inputFiles()
     if files:
         discard(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def release_shuffles(spark: SparkSession, release: bool = True) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over; else they stay until the driver next collects garbage."""
+    if release:
+        gc.collect()
+        spark._jvm.System.gc()

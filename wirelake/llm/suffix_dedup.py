@@ -21,16 +21,15 @@ shuffled twice: to cut out the blocks that round 2 needs, and to remove the repe
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import CHUNK_BYTES, chunks, flat, spread, trimmed, word_loads
-from .shared import discard_table, stored
+from .shared import discard_table, release_shuffles, stored
 from .simhash import xxh64
 
 
@@ -281,13 +280,6 @@ def _stretches_of(unit: Unit, length: int):
     return run
 
 
-def _release(spark: SparkSession, release: bool) -> None:
-    """Lets Spark delete the shuffle files of jobs that are over; else they stay until the driver next collects garbage."""
-    if release:
-        gc.collect()
-        spark._jvm.System.gc()
-
-
 def _with_hashes(df: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     return df.withColumns({"t1": F.xxhash64(t), "t2": F.xxhash64(F.lit(7), t)})
@@ -309,17 +301,17 @@ def repeats(df: DataFrame, text: str = "text", unit: Unit = BYTES, release: bool
     long = F.octet_length("text") >= (2 * unit.window - 1 if unit.words else unit.window)
     found = stored(hashed.where(long).mapInArrow(trimmed(_blocks_of(unit)), BLOCK_SCHEMA), "blocks")
     ranked = stored(found.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("t1", "t2", "start", "windows", "reach")).alias("at")), "ranked")
-    _release(spark, release)
+    release_shuffles(spark, release)
     twice = ranked.where("copies > 1").select("rank", "block")
     whole = found.join(twice, ["rank", "block"], "left_semi").select("t1", "t2", F.col("start").alias("low"), (F.col("start") + F.col("windows") - 1 + unit.window).alias("high"))
     covered = [stored(whole.distinct(), "covered")]
-    _release(spark, release)
+    release_shuffles(spark, release)
     discard_table(found)
     shared_ranks = ranked.groupBy("rank").count().where("count > 1").select("rank")
     unsettled = ranked.join(shared_ranks, "rank", "left_semi").select("at.*", "rank", F.least("copies", F.lit(2)).cast("int").alias("copies"))
     wanted = unsettled.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "windows", "reach", "rank", "copies")).alias("wanted"))  # no more than the text has blocks
     contexts = stored(_distinct(df, text, unit).join(wanted, ["t1", "t2"]).mapInArrow(trimmed(_contexts_of(unit)), CONTEXT_SCHEMA), "contexts")
-    _release(spark, release)
+    release_shuffles(spark, release)
     discard_table(ranked)
     todo = contexts.withColumns({"parts": F.array(F.struct(F.lit(0).alias("part"), "rank")), "wide": F.lit(2 * unit.window)})
     for length in unit.stretches:
@@ -335,7 +327,7 @@ def repeats(df: DataFrame, text: str = "text", unit: Unit = BYTES, release: bool
         at = F.col("start") + F.col("reach")
         covered.append(known.where("done").select("t1", "t2", (at - F.col("high")).alias("low"), (at - F.col("low") + unit.window).alias("high")))
         discard_table(cut)
-        _release(spark, release)
+        release_shuffles(spark, release)
         if length == 1:
             break
         parts = known.where("carry").select("t1", "t2", "start", "part", "rank").distinct().groupBy("t1", "t2", "start").agg(F.collect_list(F.struct("part", "rank")).alias("parts"))  # no more than the context has
@@ -425,10 +417,10 @@ def removed(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     rows = rows.select("__row", "t1", "t2", F.octet_length(F.coalesce("__text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("__text", F.lit("")), 256).alias("whole"))
     sizes = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
     found = stored(kept_texts(df, text, release).select("t1", "t2", sizes.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "removed")
-    _release(df.sparkSession, release)
+    release_shuffles(df.sparkSession, release)
     if passages:
         found = found.join(stored(shared_passages(df, text, WORDS, release), "passages"), ["t1", "t2"], "full")
-        _release(df.sparkSession, release)
+        release_shuffles(df.sparkSession, release)
     joined = rows.join(found, ["t1", "t2"], "left")
     zero = F.lit(0).cast("long")
     n_removed = F.coalesce("n_removed", zero)
