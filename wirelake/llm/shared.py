@@ -48,6 +48,14 @@ def temporary_tables(spark: SparkSession) -> Iterator[str]:
         discard(spark, f"{shared_folder(spark)}/wirelake/{run}")
 
 
+def begin_stage(spark: SparkSession) -> None:
+    """From here on tables go to a folder of their own; that of the stage before is deleted. For chains of stages that each write their result before the next begins."""
+    before = spark.conf.get(RUN, None)
+    if before and before.startswith("stage-"):
+        discard(spark, f"{shared_folder(spark)}/wirelake/{before}")
+    spark.conf.set(RUN, f"stage-{uuid.uuid4().hex}")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back: lineage ends there and lost executors lose nothing."""
     path = new_path(df.sparkSession, label)
