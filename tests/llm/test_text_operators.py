@@ -143,6 +143,38 @@ def test_line_field_learns_and_holds_out(spark):
     assert [x.line for x in lines] == [0, 1, 2, 3] and all(x.good > 0.5 for x in lines)
 
 
+def planted_pages(n, share, seed):
+    """Documents of good or bad lines by their label, with a share of lines of the other kind."""
+    r = random.Random(seed)
+    good = lambda: " ".join(r.choice(["river", "stone", "walks", "under", "light", "old", "meadow", "quiet"]) + str(r.randrange(40)) * (r.random() < 0.3) for _ in range(r.randint(5, 12))) + "."
+    bad = lambda: " ".join(r.choice(["rivr###", "st&&&", "w***", "click | here", "| |"]) for _ in range(r.randint(5, 12)))
+    states = [[i % 2 if r.random() > share else 1 - i % 2 for _ in range(r.randint(5, 14))] for i in range(n)]
+    return ["\n".join(good() if s else bad() for s in x) for x in states], states
+
+
+def test_planted_lines_are_told(spark):
+    """Junk lines in good pages and good lines in bad ones, though only pages have labels; repeated rows and clashing columns."""
+    texts, states = planted_pages(300, 0.2, 1)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, texts[7])], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("extra") for c in (*EXTRA, "held_out", "good", "line", "n")})
+    model = crf.train(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    right = [(x.good > 0.5) == states[x.doc_id][x.line] for x in crf.line_quality(docs, model).collect() if x.doc_id >= 200]
+    assert sum(right) >= 0.95 * len(right)
+    odd = [(x.good > 0.5) == states[x.doc_id][x.line] for x in crf.line_quality(docs, model).collect() if x.doc_id >= 200 and states[x.doc_id][x.line] != x.doc_id % 2]
+    assert len(odd) > 100 and sum(odd) >= 0.9 * len(odd)
+    scores = crf.scored(docs, model).collect()
+    assert len(scores) == 301 and len({x.score for x in scores if x.doc_id == 7}) == 1
+    assert crf.line_quality(docs.limit(0), model).count() == 0
+
+
+def test_long_words_are_told_apart():
+    base = b"a" * 200
+    other = base[:100] + b"b" + base[101:]
+    data = np.frombuffer(base + other + base, np.uint8)
+    h = crf.word_hashes(data, np.array([0, 200, 400]), np.full(3, 200))
+    assert h[0] == h[2] != h[1]
+
+
 # ---------------------------------------------------------------- 3: secrets
 
 BASE = [
@@ -193,6 +225,20 @@ def test_the_ledger_is_incremental(spark):
     assert len(scanned) == 4 and all(x.scanned == ["assign@2"] for x in scanned)
 
 
+def test_ledgers_that_are_doubled_or_outdated(spark, docs, rows, empty):
+    path = new_path(spark, "test-ledger")
+    df = spark.createDataFrame([(1, "password=abcdef")], "doc_id long, text string")
+    secret_scan.update_ledger(df, path)
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)  # as by a scan that is run again
+    assert [(s.kind, s.start, s.end) for s in secret_scan.scan(df, path).first().spans] == [("assign", 0, 15)]
+    assert secret_scan.mask_secrets(df, path, rules=secret_scan.RULES).first().text == "[secret]"
+    newer = (secret_scan.Rule("assign", 2, "passphrase=([a-z]+)", 1, 3), *secret_scan.RULES[1:])
+    assert secret_scan.scan(df, path, rules=newer).first().spans == [] and secret_scan.mask_secrets(df, path, rules=newer).first().text == "password=abcdef"
+    got = secret_scan.scan(docs, keep=("doc_id", "blob")) if "blob" not in EXTRA else secret_scan.scan(docs)
+    assert collections.Counter(x.doc_id for x in got.collect()) == collections.Counter(i for i, *_ in rows)
+    assert secret_scan.digests(secret_scan.scan(empty)).count() == 0
+
+
 def test_secrets_are_masked(docs, empty, spark):
     got = secret_scan.mask_secrets(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
@@ -288,7 +334,7 @@ def test_counts_and_base(docs, rows, empty):
 
 def test_expectation_maximisation_finds_the_rates():
     r = random.Random(1)
-    truth = {"length": 0.9, "symbols": 0.95, "repeats": 0.9, "lines": 0.8, "word_length": 0.9, "variety": 0.9}
+    truth = {"length": 0.9, "symbols": 0.95, "repeats": 0.9, "lines": 0.8, "word_length": 0.9, "variety": 0.9, "symbol_ends": 0.9, "stops": 0.9}
     rules = list(quality_rules.RULES)
     patterns, right = collections.Counter(), []
     for _ in range(6000):
@@ -305,6 +351,45 @@ def test_expectation_maximisation_finds_the_rates():
     assert quality_rules.fit([]).share["good"] == 0.8
 
 
+@pytest.mark.parametrize("noisy", ["stops", "lines"])
+def test_an_unreliable_rule_is_found(noisy):
+    """It accuses 20 % of good documents; they stay."""
+    r, rules = random.Random(5), list(quality_rules.RULES)
+    patterns, good = collections.Counter(), []
+    for _ in range(20_000):
+        kind = "good" if r.random() < 0.8 else r.choice(rules)
+        v = tuple(None if r.random() < 0.1 else int(r.random() >= ((0.2 if q == noisy else 0.005) if kind == "good" else 0.9 if q == kind else 0.05)) for q in rules)
+        patterns[v] += 1
+        good += [v] if kind == "good" else []
+    model = quality_rules.fit([(dict(zip(rules, v)), n) for v, n in patterns.items()])
+    assert abs(model.accuses["good"][noisy] - 0.2) < 0.03
+    assert sum(model.weights(dict(zip(rules, v)))["good"] < 0.5 for v in good) <= 0.05 * len(good)
+
+
+def kept_by_hand(texts):
+    """The verdicts, with votes counted here and the fitted table taken as given."""
+    cast, failed = [], []
+    for text in texts:
+        n, chars, symbols, dup, repeated = counts_of(text)
+        words, stops = WORD.findall(text or ""), len(re.findall("[.!?\u3002\u0964]", text or ""))
+        lines, ends, kinds = sum(bool(WORD.search(x)) for x in (text or "").split("\n")), sum(w[-1] in "#*$%&|<>" for w in words), len(set(words))
+        bad = [n < 10, 10 * symbols > n, 5 * repeated > n, 2 * dup > lines, chars > 12 * n or chars < 2 * n, n >= 20 and kinds**2 < 4 * n, 20 * ends > n, n >= 25 and 25 * stops < n]
+        good = [n >= 25, 50 * symbols <= n, 20 * repeated <= n, lines >= 3 and 10 * dup <= lines, 3 * n <= chars <= 9 * n, n >= 20 and kinds**2 >= 9 * n, 100 * ends <= n, n >= 25 and 20 * stops >= n]
+        cast.append(tuple(0 if b else 1 if g else None for b, g in zip(bad, good)))
+        failed.append(n < 10 or 5 * repeated > n)
+    model = quality_rules.fit([(dict(zip(quality_rules.RULES, v)), k) for v, k in collections.Counter(cast).items()])
+    out = []
+    for v, f in zip(cast, failed):
+        weight = {c: math.prod([p] + [a if said == 0 else 1 - a for said, a in zip(v, model.accuses[c].values()) if said is not None]) for c, p in model.share.items()}
+        out.append(not f and weight["good"] >= 0.5 * sum(weight.values()))
+    return out
+
+
+def test_verdicts_by_hand(docs, rows):
+    got = collections.Counter((x.doc_id, x.kept) for x in quality_rules.judged(docs).collect())
+    assert got == collections.Counter((i, k) for (i, *_), k in zip(rows, kept_by_hand([t for _, t, *_ in rows])))
+
+
 def test_posterior_column_is_the_models(spark):
     model = quality_rules.fit([({r: 1 for r in quality_rules.RULES}, 80), ({r: (0 if r == "symbols" else 1) for r in quality_rules.RULES}, 20)])
     cases = [{r: (None, 0, 1)[(i + k) % 3] for k, r in enumerate(quality_rules.RULES)} for i in range(3)]
