@@ -74,3 +74,28 @@ def test_long_texts_have_the_same_shingles():
         want = near_sets.sets(data, np.array([0, len(data)]))[0]
         assert len(want) == len(shingle_set(text))
         assert all(near_sets.long_shingles(data, piece=p).tolist() == want.tolist() for p in (1, 7, 100))
+
+
+def test_slices_and_sketches_lose_no_pair(spark, monkeypatch):
+    """Unrelated texts that meet under a passage are told apart before whole sets are, and pairs go in slices where they would take more disk than the texts."""
+    r = random.Random(5)
+    shared = [f"s{i}" for i in range(12)]
+    rows = [(i, " ".join(shared + [f"w{r.randrange(5000)}" for _ in range(40)])) for i in range(60)]
+    rows += [(100 + k, " ".join(t.split(" ")[:-1])) for k, t in rows[::6]] + [(200 + k, t + " more and more") for k, t in rows[::9]]
+    seen, whole = [], near_sets.similar
+    monkeypatch.setattr(near_sets, "similar", lambda df, pairs, *a: seen.append(pairs.count()) or whole(df, pairs, *a))
+    monkeypatch.setattr(near_sets, "SAMPLE", 1)
+    monkeypatch.setattr(near_sets, "LEAST_BYTES", 1 << 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in near_sets.keep_first(df).collect()} == staying(rows)
+    assert sum(seen) < 60
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(1)
+    for n, m in [(0, 0), (0, 3), (64, 65), (500, 520), (900, 300)]:
+        both = r.integers(0, 2**63, 1000).astype(np.uint64)
+        a, b = np.sort(r.choice(both, n, False)), np.sort(r.choice(both, m, False))
+        x, y = near_sets._sketches(np.concatenate([a, b]), np.array([0, n, n + m]))
+        assert (near_sets._differing(x, x), near_sets._differing(y, y)) == (0, 0)
+        assert near_sets._differing(x, y) <= n + m - 2 * len(np.intersect1d(a, b))

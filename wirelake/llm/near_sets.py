@@ -3,15 +3,17 @@
 Shingles are 64-bit hashes, and texts with equal sets collapse to one class first. All sets are ordered alike, shingles
 that a sample has often last. Two sets of n and m shingles that are similar enough share one of the first
 n - ceil(s * n) + 1 and m - ceil(s * m) + 1, so these prefixes are grouped by shingle and what meets in a group is
-compared by size and by place; pairs that may still be similar are decided on whole sets. That goes in two rounds: first
+compared by size and by place. Of pairs that may still be similar, sketches tell most that meet in vain: in how many bits two sketches
+differ, in so many shingles the sets differ at least. The rest are decided on whole sets. That goes in two rounds: first
 each class meets the two before it under each shingle, which joins most copies of a text; then classes meet those that they
 aren't joined with. No link between groups is lost, as pairs within one can't change what is linked; the sample only tells
-how many meet in vain.
+how many meet in vain. Pairs go in as many slices as keep what is on disk in proportion to the texts, however many meet.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ WIDTH, SIMILARITY = 5, Fraction(4, 5)
 SAMPLE, MOST_OFTEN, OFTEN = 1 << 14, 1 << 17, 4
 #: Bits that tell which texts to hash again: 8 MB at any size. A text that is hashed in vain does no harm.
 FILTER_BITS = 1 << 26
+#: Bytes that a slice of pairs may take for each shingle of all texts, and at any size; what a meeting of two classes takes, and a shingle of a pair whose sets are compared.
+SLICE_BYTES, LEAST_BYTES, MEETING_BYTES, PAIR_BYTES = 4, 1 << 26, 48, 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +94,25 @@ def _names(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         return _mixed(sums[at[1:]] - sums[at[:-1]] + _mixed(np.diff(at).astype(np.uint64)))
 
 
+def _sketches(hashes: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set of n shingles a power of two of bits, n at least and 64 at least: whether an odd number of its shingles falls on each."""
+    n = np.diff(at)
+    bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    ends = np.cumsum(bits)
+    place = np.repeat(ends - bits, n) + (hashes & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    cuts = [0, *(ends >> 3).tolist()]
+    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _differing(x, y) -> int:
+    """In how many shingles the sets of two sketches differ at least. The larger sketch is folded: an odd and an odd number make an even one."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0) ^ y).sum())
+
+
 def often_met(df: DataFrame, text: str, key: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents of a sample have, ascending, and a rank for each, from 1: more documents, higher."""
     share = SAMPLE / max(1, df.count())
@@ -109,8 +132,8 @@ def often_met(df: DataFrame, text: str, key: str, width: int) -> tuple[np.ndarra
 
 
 def with_prefixes(df: DataFrame, often: tuple[np.ndarray, np.ndarray], similarity: Fraction, width: int, text: str, key: str) -> DataFrame:
-    """(key, class, n, prefix): the name and size of every text's set, and its first shingles in the order of all."""
-    schema = T.StructType([df.schema[key], *T.StructType.fromDDL("class long, n int, prefix array<long>").fields])
+    """(key, class, n, sketch, prefix): the name, size and sketch of every text's set, and its first shingles in the order of all."""
+    schema = T.StructType([df.schema[key], *T.StructType.fromDDL("class long, n int, sketch binary, prefix array<long>").fields])
     up, down = similarity.numerator, similarity.denominator
     names, ranks = often
 
@@ -129,7 +152,7 @@ def with_prefixes(df: DataFrame, often: tuple[np.ndarray, np.ndarray], similarit
                 ends = np.cumsum(long)
                 taken = ordered[np.repeat(at[:-1] - (ends - long), long) + np.arange(int(long.sum()))]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(taken.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(_names(hashes, at).view(np.int64)), pa.array(n, pa.int32()), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(_names(hashes, at).view(np.int64)), pa.array(n, pa.int32()), pa.array(_sketches(hashes, at), pa.binary()), lists], names=schema.names)
 
     return df.select(key, text).mapInArrow(trimmed(run), schema)
 
@@ -203,21 +226,51 @@ def first_pairs(found: DataFrame, similarity: Fraction) -> DataFrame:
     return before.unionByName(after).select(*_ordered(F.col("class"), F.col("other"))).distinct()
 
 
-def pairs_across(found: DataFrame, roots: DataFrame, similarity: Fraction) -> DataFrame:
+def _slices(df: DataFrame, name: str, count: int):
+    """``df`` in ``count`` parts by the hash of a column."""
+    return [df.where(F.pmod(F.xxhash64(name), F.lit(count)) == i) for i in range(count)] if count > 1 else [df]
+
+
+def pairs_across(found: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: Fraction, most_bytes: int, release: bool) -> DataFrame:
     """All other pairs that may be similar enough, of classes that aren't in one group yet. Under each shingle the classes outside of its largest group meet all; within a group nothing
     does, so copies of one text by the thousand are no pairs by the million. The join's skew handling splits a shingle of many classes."""
     up, down = similarity.numerator, similarity.denominator
     rows = found.select("shingle", "n", "class", "place").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("shingle", "n", "class", "place", F.coalesce("root", "class").alias("group"))
     rows = stored(rows, "grouped")
-    sizes = rows.groupBy("shingle", "group").count().groupBy("shingle").agg(F.max_by("group", F.struct("count", "group")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("shingle", "largest")
-    marked = rows.join(sizes, "shingle").withColumn("outside", F.col("group") != F.col("largest"))
+    sizes = rows.groupBy("shingle", "group").count().groupBy("shingle").agg(F.max_by("group", F.struct("count", "group")).alias("largest"), F.count(F.lit(1)).alias("groups"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    sizes = stored(sizes.where("groups > 1"), "sizes")
+    meetings = sizes.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+    marked = rows.join(sizes.select("shingle", "largest"), "shingle").withColumn("outside", F.col("group") != F.col("largest"))
     of = lambda c: [F.col(k).alias(k + c) for k in ("n", "class", "place", "group", "outside")]
-    met = marked.where("outside").select("shingle", *of("1")).join(marked.select("shingle", *of("2")), "shingle")
     most = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
     can = (F.greatest("n1", "n2") * up <= F.least("n1", "n2") * down) & (most * (up + down) >= (F.col("n1") + F.col("n2")) * up)
-    out = stored(met.where((F.col("group1") != F.col("group2")) & (~F.col("outside2") | (F.col("class1") < F.col("class2"))) & can).select(*_ordered(F.col("class1"), F.col("class2"))).distinct(), "pairs")
+    parts = []
+    for part in _slices(marked.where("outside"), "class", -(-int(meetings) * MEETING_BYTES // most_bytes)):
+        met = part.select("shingle", *of("1")).join(marked.select("shingle", *of("2")), "shingle")
+        pairs = stored(met.where((F.col("group1") != F.col("group2")) & (~F.col("outside2") | (F.col("class1") < F.col("class2"))) & can).select(*_ordered(F.col("class1"), F.col("class2"))).distinct(), "pairs")
+        release_shuffles(found.sparkSession, release)
+        parts.append(likely(pairs, sketches, similarity))
+        discard_table(pairs)
+        release_shuffles(found.sparkSession, release)
     discard_table(rows)
-    return out
+    discard_table(sizes)
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b, n): the pairs whose sketches differ in no more bits than similar sets do in shingles, and how many shingles their sets have."""
+    up, down = similarity.numerator, similarity.denominator
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([_differing(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5))], np.int64)
+            kept = (n - apart) // 2 * (up + down) >= up * n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["a", "b", "n"]).filter(pa.array(kept, pa.bool_()))
+
+    of = lambda c: sketches.select(F.col("class").alias(c), F.col("n").cast("long").alias("n" + c), F.col("sketch").alias("s" + c))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return stored(both.mapInArrow(trimmed(run), "a long, b long, n long"), "likely")
 
 
 def _places(column) -> Column:
@@ -233,8 +286,8 @@ def _filter_of(keys: DataFrame, key: str) -> np.ndarray:
     return table.view(np.uint64)
 
 
-def similar(df: DataFrame, pairs: DataFrame, classes: DataFrame, similarity: Fraction, width: int, text: str, key: str) -> DataFrame:
-    """The pairs whose whole sets are similar enough. Only texts that stand for a class of some pair are hashed again."""
+def similar(df: DataFrame, pairs: DataFrame, classes: DataFrame, similarity: Fraction, width: int, text: str, key: str, most_bytes: int, release: bool) -> DataFrame:
+    """The pairs (a, b), of rows (a, b, n), whose whole sets are similar enough. Only texts that stand for a class of some pair are hashed again."""
     up, down = similarity.numerator, similarity.denominator
 
     def hashed(batches):
@@ -255,14 +308,17 @@ def similar(df: DataFrame, pairs: DataFrame, classes: DataFrame, similarity: Fra
                 kept.append(both * down >= up * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    table = _filter_of(classes.join(wanted, "class", "left_semi").select(F.col("node").alias(key)), key)
-    placed = df.where(F.col(key).isNotNull()).select(text, _places(key).alias("place"))
-    found = stored(placed.mapInArrow(trimmed(hashed), "class long, shingles binary"), "shingle-sets")
-    of = lambda c, out: found.select(F.col("class").alias(c), F.col("shingles").alias(out))
-    out = stored(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(decided), "a long, b long"), "alike")
-    discard_table(found)
-    return out
+    placed, parts = df.where(F.col(key).isNotNull()).select(text, _places(key).alias("place")), []
+    heavy = pairs.agg(F.sum("n")).first()[0] or 0
+    for part in _slices(pairs, "a", -(-int(heavy) * PAIR_BYTES // most_bytes)):
+        wanted = part.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        table = _filter_of(classes.join(wanted, "class", "left_semi").select(F.col("node").alias(key)), key)
+        found = stored(placed.mapInArrow(trimmed(hashed), "class long, shingles binary"), "shingle-sets")
+        of = lambda c, out: found.select(F.col("class").alias(c), F.col("shingles").alias(out))  # noqa: B023, E731
+        parts.append(stored(part.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(decided), "a long, b long"), "alike"))
+        discard_table(found)
+        release_shuffles(df.sparkSession, release)
+    return reduce(DataFrame.union, parts)
 
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: Fraction = SIMILARITY, width: int = WIDTH, release: bool = True) -> DataFrame:
@@ -275,23 +331,24 @@ def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", similarit
     marked = stored(with_prefixes(df.where(F.col(key).isNotNull()), often_met(df, text, key, width), similarity, width, text, key), "prefixes")
     found = stored(buckets(marked, similarity), "buckets")
     release_shuffles(df.sparkSession, release)
-    prefixes, marked = marked, stored(marked.select(key, "class"), "named")
+    prefixes, marked = marked, stored(marked.select(key, "class", "n", "sketch"), "named")
     discard_table(prefixes)
     classes = marked.groupBy("class").agg(F.min(key).alias("node"))
+    sketches = marked.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    most_bytes = max(LEAST_BYTES, SLICE_BYTES * int(marked.agg(F.sum("n")).first()[0] or 0))
     repeated = marked.groupBy(key).agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select(key, "a")
     repeated = marked.join(repeated, key).select("a", F.col("class").alias("b")).where("a <> b")
     first = stored(first_pairs(found, similarity), "pairs")
-    alike = similar(df, first, classes, similarity, width, text, key).union(repeated)
-    release_shuffles(df.sparkSession, release)
+    alike = similar(df, likely(first, sketches, similarity), classes, similarity, width, text, key, most_bytes, release).union(repeated)
     roots = stored(components(alike, "links"), "roots")
-    second = stored(pairs_across(found, roots, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = stored(pairs_across(found, roots, sketches, similarity, most_bytes, release).join(first, ["a", "b"], "left_anti"), "pairs")
     discard_table(found)
     release_shuffles(df.sparkSession, release)
-    more = similar(df, second, classes, similarity, width, text, key)
-    release_shuffles(df.sparkSession, release)
+    more = similar(df, second, classes, similarity, width, text, key, most_bytes, release)
     roots = components(more.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), "links")
     rooted = stored(marked.select(key, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select(key, F.coalesce("root", "class").alias("group")), "groups")
     discard_table(marked)
     least = rooted.groupBy("group").agg(F.min(key).alias("least"))
-    away = rooted.join(least, "group").where(F.col(key) > F.col("least")).select(key).distinct()
+    away = stored(rooted.join(least, "group").where(F.col(key) > F.col("least")).select(key).distinct(), "away")
+    release_shuffles(df.sparkSession, release)
     return df.join(away, key, "left_anti").select(*df.columns)

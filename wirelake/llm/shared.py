@@ -78,5 +78,6 @@ def discard_table(df: DataFrame) -> None:
 def release_shuffles(spark: SparkSession, release: bool = True) -> None:
     """Lets Spark delete the shuffle files of jobs that are over; else they stay until the driver next collects garbage."""
     if release:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)  # events of the last job still hold its plan
         gc.collect()
         spark._jvm.System.gc()
