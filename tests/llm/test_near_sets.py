@@ -99,3 +99,18 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
         x, y = near_sets._sketches(np.concatenate([a, b]), np.array([0, n, n + m]))
         assert (near_sets._differing(x, x), near_sets._differing(y, y)) == (0, 0)
         assert near_sets._differing(x, y) <= n + m - 2 * len(np.intersect1d(a, b))
+
+
+def test_simhash_is_a_step_of_its_own(spark, monkeypatch):
+    """Fingerprints few bits apart link copies without the other rounds, and make a few pairs for each class only."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(3000)}" for _ in range(4000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join(reversed(base)))]
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_sets, "first_pairs", lambda *a: none)
+    monkeypatch.setattr(near_sets, "pairs_across", lambda *a: none.selectExpr("a", "b", "a as n"))
+    kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(x.doc_id for x in kept) == [1, 3]
+    many = spark.createDataFrame([(k, 1 << (k % 40)) for k in range(80)] + [(900, -1)], "class long, fingerprint long")
+    pairs = {(x.a, x.b) for x in near_sets.simhash_pairs(many).collect()}
+    assert all(a < b for a, b in pairs) and {x for p in pairs for x in p} == set(range(80)) and {(k, k + 40) for k in range(40)} <= pairs and len(pairs) <= 120

@@ -5,8 +5,8 @@ that a sample has often last. Two sets of n and m shingles that are similar enou
 n - ceil(s * n) + 1 and m - ceil(s * m) + 1, so these prefixes are grouped by shingle and what meets in a group is
 compared by size and by place. Of pairs that may still be similar, sketches tell most that meet in vain: in how many bits two sketches
 differ, in so many shingles the sets differ at least. The rest are decided on whole sets. That goes in two rounds: first
-each class meets the two before it under each shingle, which joins most copies of a text; then classes meet those that they
-aren't joined with. No link between groups is lost, as pairs within one can't change what is linked; the sample only tells
+each class meets those whose SimHash fingerprints are few bits apart, and the two before it under each shingle, which joins most
+copies of a text; then classes meet those that they aren't joined with, as fingerprints of sets with a similarity of 0.8 differ in some ten bits. No link between groups is lost, as pairs within one can't change what is linked; the sample only tells
 how many meet in vain. Pairs go in as many slices as keep what is on disk in proportion to the texts, however many meet.
 """
 
@@ -23,13 +23,15 @@ from pyspark.sql import types as T
 
 from ._text import CHUNK_BYTES, chunks, flat, trimmed, word_loads
 from .shared import discard_table, release_shuffles, stored
-from .simhash import components, spaced_words, xxh64
+from .simhash import components, links, majority, spaced_words, xxh64
 
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
 #: Documents in the sample, and how many often-met shingles are taken from it at most; each is in so many of its documents at least.
 SAMPLE, MOST_OFTEN, OFTEN = 1 << 14, 1 << 17, 4
 #: Bits that tell which texts to hash again: 8 MB at any size. A text that is hashed in vain does no harm.
 FILTER_BITS = 1 << 26
+#: Bits in which the SimHash fingerprints of the first round's pairs differ at most.
+RADIUS = 4
 #: Bytes that a slice of pairs may take for each shingle of all texts, and at any size; what a meeting of two classes takes, and a shingle of a pair whose sets are compared.
 SLICE_BYTES, LEAST_BYTES, MEETING_BYTES, PAIR_BYTES = 4, 1 << 26, 48, 16
 
@@ -132,8 +134,8 @@ def often_met(df: DataFrame, text: str, key: str, width: int) -> tuple[np.ndarra
 
 
 def with_prefixes(df: DataFrame, often: tuple[np.ndarray, np.ndarray], similarity: Fraction, width: int, text: str, key: str) -> DataFrame:
-    """(key, class, n, sketch, prefix): the name, size and sketch of every text's set, and its first shingles in the order of all."""
-    schema = T.StructType([df.schema[key], *T.StructType.fromDDL("class long, n int, sketch binary, prefix array<long>").fields])
+    """(key, class, n, sketch, fingerprint, prefix): the name, size, sketch and SimHash fingerprint of every text's set, and its first shingles in the order of all."""
+    schema = T.StructType([df.schema[key], *T.StructType.fromDDL("class long, n int, sketch binary, fingerprint long, prefix array<long>").fields])
     up, down = similarity.numerator, similarity.denominator
     names, ranks = often
 
@@ -152,7 +154,7 @@ def with_prefixes(df: DataFrame, often: tuple[np.ndarray, np.ndarray], similarit
                 ends = np.cumsum(long)
                 taken = ordered[np.repeat(at[:-1] - (ends - long), long) + np.arange(int(long.sum()))]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(taken.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(_names(hashes, at).view(np.int64)), pa.array(n, pa.int32()), pa.array(_sketches(hashes, at), pa.binary()), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(_names(hashes, at).view(np.int64)), pa.array(n, pa.int32()), pa.array(_sketches(hashes, at), pa.binary()), pa.array(majority(hashes, n).view(np.int64)), lists], names=schema.names)
 
     return df.select(key, text).mapInArrow(trimmed(run), schema)
 
@@ -226,6 +228,16 @@ def first_pairs(found: DataFrame, similarity: Fraction) -> DataFrame:
     return before.unionByName(after).select(*_ordered(F.col("class"), F.col("other"))).distinct()
 
 
+def simhash_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, by SimHash, of rows (class, fingerprint): one class stands for each fingerprint, the others are paired with it, and it is paired with the first and
+    the last of those whose fingerprints differ in at most ``RADIUS`` bits. So no more pairs than a few for each class, however many are alike."""
+    prints = stored(marked.groupBy("fingerprint").agg(F.min("class").alias("node")), "fingerprints")
+    same = marked.join(prints, "fingerprint").where("class <> node").select(*_ordered(F.col("class"), F.col("node")))
+    each = links(prints, RADIUS).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+    ends = each.groupBy("a").agg(F.array(F.min("b"), F.max("b")).alias("b")).select("a", F.explode("b").alias("b"))
+    return same.union(ends.select(*_ordered(F.col("a"), F.col("b")))).distinct()
+
+
 def _slices(df: DataFrame, name: str, count: int):
     """``df`` in ``count`` parts by the hash of a column."""
     return [df.where(F.pmod(F.xxhash64(name), F.lit(count)) == i) for i in range(count)] if count > 1 else [df]
@@ -331,14 +343,16 @@ def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", similarit
     marked = stored(with_prefixes(df.where(F.col(key).isNotNull()), often_met(df, text, key, width), similarity, width, text, key), "prefixes")
     found = stored(buckets(marked, similarity), "buckets")
     release_shuffles(df.sparkSession, release)
-    prefixes, marked = marked, stored(marked.select(key, "class", "n", "sketch"), "named")
+    prefixes, marked = marked, stored(marked.select(key, "class", "n", "sketch", "fingerprint"), "named")
     discard_table(prefixes)
     classes = marked.groupBy("class").agg(F.min(key).alias("node"))
     sketches = marked.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     most_bytes = max(LEAST_BYTES, SLICE_BYTES * int(marked.agg(F.sum("n")).first()[0] or 0))
     repeated = marked.groupBy(key).agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select(key, "a")
     repeated = marked.join(repeated, key).select("a", F.col("class").alias("b")).where("a <> b")
-    first = stored(first_pairs(found, similarity), "pairs")
+    hashed = stored(simhash_pairs(marked), "simhash-pairs")
+    release_shuffles(df.sparkSession, release)
+    first = stored(hashed.union(first_pairs(found, similarity)).distinct(), "pairs")
     alike = similar(df, likely(first, sketches, similarity), classes, similarity, width, text, key, most_bytes, release).union(repeated)
     roots = stored(components(alike, "links"), "roots")
     second = stored(pairs_across(found, roots, sketches, similarity, most_bytes, release).join(first, ["a", "b"], "left_anti"), "pairs")

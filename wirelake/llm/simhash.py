@@ -104,17 +104,20 @@ _SPREAD = np.array([[(b >> k) & 1 for k in range(8)] for b in range(256)], np.ui
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 4, seed: int = 42) -> np.ndarray:
     """The fingerprint of every text: a bit is 1 if set in over half of the hashes. Without words: 0."""
-    n = len(offsets) - 1
     text, starts, ends, before = spaced_words(data, offsets)
     words = np.diff(before)
     shingles = np.where(words == 0, 0, np.maximum(words - width + 1, 1))
     total = int(shingles.sum())
-    out = np.zeros(n, np.uint64)
-    if not total:
-        return out
     first = np.repeat(before[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(total)
     last = np.minimum(first + width - 1, np.repeat(before[1:], shingles) - 1)
-    hashes = xxh64(word_loads(text), starts[first], ends[last] - starts[first], seed)
+    return majority(xxh64(word_loads(text), starts[first], ends[last] - starts[first], seed), shingles)
+
+
+def majority(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Of each text's hashes, of which there are so many text after text, the bits that are set in over half; 0 for none."""
+    out, total = np.zeros(len(shingles), np.uint64), len(hashes)
+    if not total:
+        return out
     some = np.flatnonzero(shingles)
     at = (np.cumsum(shingles) - shingles)[some]
     # Eight counters of a byte in one word: exact up to 255 rows, so rows are summed in blocks of at most 255.
