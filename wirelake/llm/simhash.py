@@ -219,7 +219,8 @@ def links(classes: DataFrame, radius: int = 4, parts: int = 2, node: str = "node
         theirs = F.when(of, part(F.col("fb"), i).bitwiseXOR(F.col("key"))).otherwise(theirs)
         here = F.when(of, F.bit_count(part(apart, i))).otherwise(here)
     one_way = F.lit(True) if ball < 2 else F.when(here <= 1, theirs == 0).otherwise(mine < theirs)
-    pairs = probe.join(table, ["i", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & ~earlier & one_way)
+    # Spark reckons a table without the rows that explode makes: it would collect some million rows on the driver for a table of 200 kB, so the sides are shuffled and sorted.
+    pairs = probe.hint("merge").join(table.hint("merge"), ["i", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & ~earlier & one_way)
     return pairs.select("a", "b")
 
 
