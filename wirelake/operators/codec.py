@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernels import columnar, json_codec, json_columns, text_codec, wkt, yaml_codec
+from ..kernels import columnar, json_codec, json_columns, text_codec, text_columns, transcode, wkt, yaml_codec
 from ..kernels.message import DEFAULT, Message, Options, read_delimited
 from ..plans import compile_plan, spark_type
 from ..schema.pool import Pool
@@ -167,10 +167,8 @@ def convert(column, kind: str, one, mode: str = FAILFAST, errors: tuple = (Value
     return run(_col(column))
 
 
-def to_json(payload, pool: Pool, message: str, options: json_codec.JsonOptions = json_codec.DEFAULT, mode: str = FAILFAST) -> Column:
-    """Protobuf JSON of a payload: by columns where the message has neither recursion, special types nor extensions, else row by row."""
-    if not json_columns.can_write(pool, message, options):
-        return convert(payload, "string", lambda raw: json_codec.to_json(Message.decode(pool, message, raw), options), mode)
+def _written(payload, pool: Pool, message: str, write, mode: str) -> Column:
+    """Text of payloads by columns: ``write`` has (plan, struct, payloads, which of them have none)."""
     plan = compile_plan(pool, message, cases=False, max_depth=100)
 
     @F.arrow_udf("string")
@@ -179,14 +177,38 @@ def to_json(payload, pool: Pool, message: str, options: json_codec.JsonOptions =
         if mode == FAILFAST:
             _checked(made, values)
         gone = (made.errors != 0) | values.is_null().to_numpy(zero_copy_only=False)
-        return pa.array(json_columns.write(pool, plan, made.struct, options), pa.string(), mask=gone)
+        return pa.array(write(plan, made.struct, values, gone), pa.string(), mask=gone)
 
     return run(_col(payload))
 
 
+def _read(text, pool: Pool, message: str, quick, slow, mode: str, tree: bool) -> Column:
+    """Payloads of text: straight to bytes where the message allows it and the text has the usual form, else by way of a message."""
+    if not json_columns.can_write(pool, message, json_codec.DEFAULT):
+        return convert(text, "binary", lambda s: slow(s).encode(), mode)
+    shapes: list[transcode.Shape] = []
+
+    def one(s: str) -> bytes:
+        if not shapes:
+            shapes.append(transcode.Shape(pool, message, tree))
+        try:
+            return quick(shapes[0], s)
+        except transcode.LEFT:
+            return slow(s).encode()
+
+    return convert(text, "binary", one, mode)
+
+
+def to_json(payload, pool: Pool, message: str, options: json_codec.JsonOptions = json_codec.DEFAULT, mode: str = FAILFAST) -> Column:
+    """Protobuf JSON of a payload: by columns where the message has neither recursion, special types nor extensions, else row by row."""
+    if not json_columns.can_write(pool, message, options):
+        return convert(payload, "string", lambda raw: json_codec.to_json(Message.decode(pool, message, raw), options), mode)
+    return _written(payload, pool, message, lambda plan, struct, *_: json_columns.write(pool, plan, struct, options), mode)
+
+
 def from_json(text, pool: Pool, message: str, options: json_codec.JsonOptions = json_codec.DEFAULT, mode: str = FAILFAST) -> Column:
     """The payload of protobuf JSON."""
-    return convert(text, "binary", lambda s: json_codec.from_json(pool, message, s, options).encode(), mode)
+    return _read(text, pool, message, transcode.from_json, lambda s: json_codec.from_json(pool, message, s, options), mode, True)
 
 
 def to_text(payload, pool: Pool, message: str, pretty: bool = False, unknown: bool = False, mode: str = FAILFAST) -> Column:
@@ -198,11 +220,27 @@ def from_text(text, pool: Pool, message: str, mode: str = FAILFAST) -> Column:
 
 
 def to_yaml(payload, pool: Pool, message: str, options: json_codec.JsonOptions = json_codec.DEFAULT, mode: str = FAILFAST) -> Column:
-    return convert(payload, "string", lambda raw: yaml_codec.to_yaml(Message.decode(pool, message, raw), options), mode)
+    """YAML of a payload, by columns or row by row as JSON; rows with text of several lines go row by row."""
+
+    def one(raw: bytes) -> str:
+        return yaml_codec.to_yaml(Message.decode(pool, message, raw), options)
+
+    if not json_columns.can_write(pool, message, options):
+        return convert(payload, "string", one, mode)
+
+    def write(plan, struct, values: pa.Array, gone) -> list[str]:
+        yaml_codec._need()
+        rows = text_columns.yaml(pool, plan, struct, options)
+        for i, row in enumerate(rows):
+            if text_columns.BY_ROW in row and not gone[i]:
+                rows[i] = one(values[i].as_py())
+        return rows
+
+    return _written(payload, pool, message, write, mode)
 
 
 def from_yaml(text, pool: Pool, message: str, options: json_codec.JsonOptions = json_codec.DEFAULT, mode: str = FAILFAST) -> Column:
-    return convert(text, "binary", lambda s: yaml_codec.from_yaml(pool, message, s, options).encode(), mode)
+    return _read(text, pool, message, transcode.from_yaml, lambda s: yaml_codec.from_yaml(pool, message, s, options), mode, True)
 
 
 def to_variant(payload, pool: Pool, message: str = "google.protobuf.Struct") -> Column:
@@ -215,6 +253,11 @@ def repack(payload, pool: Pool, message: str, options: Options = DEFAULT) -> Col
     return convert(payload, "binary", lambda raw: Message.decode(pool, message, raw, options).encode())
 
 
+def repack(payload, pool: Pool, message: str, options: Options = DEFAULT) -> Column:
+    """The payload decoded and encoded again: fields by number, merged, unknown ones last."""
+    return convert(payload, "binary", lambda raw: Message.decode(pool, message, raw, options).encode())
+
+
 def text_to_timestamp(text, mode: str = FAILFAST) -> Column:
     """struct<seconds, nanos> of RFC 3339 text."""
 
