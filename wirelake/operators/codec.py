@@ -212,11 +212,14 @@ def from_json(text, pool: Pool, message: str, options: json_codec.JsonOptions =
 
 
 def to_text(payload, pool: Pool, message: str, pretty: bool = False, unknown: bool = False, mode: str = FAILFAST) -> Column:
-    return convert(payload, "string", lambda raw: text_codec.to_text(Message.decode(pool, message, raw), pretty, unknown), mode)
+    """Text format of a payload, by columns or row by row as JSON; with unknown fields row by row."""
+    if unknown or not json_columns.can_write(pool, message, json_codec.DEFAULT):
+        return convert(payload, "string", lambda raw: text_codec.to_text(Message.decode(pool, message, raw), pretty, unknown), mode)
+    return _written(payload, pool, message, lambda plan, struct, *_: text_columns.text(pool, plan, struct, pretty), mode)
 
 
 def from_text(text, pool: Pool, message: str, mode: str = FAILFAST) -> Column:
-    return convert(text, "binary", lambda s: text_codec.from_text(pool, message, s).encode(), mode)
+    return _read(text, pool, message, transcode.from_text, lambda s: text_codec.from_text(pool, message, s), mode, False)
 
 
 def to_yaml(payload, pool: Pool, message: str, options: json_codec.JsonOptions = json_codec.DEFAULT, mode: str = FAILFAST) -> Column:
