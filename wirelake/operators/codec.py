@@ -6,6 +6,7 @@ others stay in the JVM. Pools and plans travel in the closure as plain data.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,15 +94,29 @@ def decode_frame(df: DataFrame, column: str, pool: Pool, message: str, out: str
     plan = compile_plan(pool, message, how.get("fields"), how.get("shallow", False), how.get("unknown", False), max_depth=how.get("max_depth", 6), utf8_as_bytes=options.utf8_as_bytes)
     kind = T.StructType([T.StructField("value", _nullable(spark_type(plan))), T.StructField("error", T.StringType())])
 
-    @F.arrow_udf(kind)
-    def run(payload: pa.Array) -> pa.Array:
+    def decoded(payload: pa.Array) -> pa.StructArray:
         made = columnar.decode_column(plan, payload, options)
         gone = pa.compute.or_(pa.array(made.errors != 0), payload.is_null())
         return pa.StructArray.from_arrays([_with_nulls(_cast(made.struct, kind["value"].dataType), gone), made.codes()], fields=[columnar.arrow_type(kind).field(i) for i in range(2)])
 
-    both = df.withColumn("__decoded", run(_col(column)))
     if mode == DROPMALFORMED:
-        return both.where("__decoded.error is null").withColumn(out, F.col("__decoded.value")).drop("__decoded")
+        # A list of one value, or of none, exploded: rows are left out in the pass that decodes them. A condition on the error would be pushed below
+        # the decoding, and Spark would decode, and do what lies beneath, once for the condition and once more for the value.
+        @F.arrow_udf(T.ArrayType(kind["value"].dataType))
+        def kept(payload: pa.Array) -> pa.Array:
+            both = decoded(payload)
+            good = both.field(1).is_null()
+            values = both.field(0).filter(good)
+            offsets = np.concatenate([[0], np.cumsum(good.to_numpy(zero_copy_only=False))])
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, type=pa.list_(pa.field("element", values.type)))
+
+        return df.withColumn(out, F.explode(kept(_col(column))))
+
+    @F.arrow_udf(kind)
+    def run(payload: pa.Array) -> pa.Array:
+        return decoded(payload)
+
+    both = df.withColumn("__decoded", run(_col(column)))
     return both.withColumns({out: F.col("__decoded.value"), error: F.col("__decoded.error")}).drop("__decoded")
 
 
